@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import lines, mixing, neardup, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +17,34 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_near_duplicates": op10_near_duplicates}
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return mixing.replicate(docs, mixing.rates(docs, exponent=0.5), seed=17)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_windows(_read(spark, sf_dir, "documents"), size=3).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def _vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), *_vocabulary(), end_id=0, capacity=2048)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
 
@@ -41,3 +68,46 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
 FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+ORACLES["op6_mix_sources"] = r"""
+WITH RECURSIVE counts AS (
+  SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY ALL
+), rate AS (
+  SELECT src, n, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts
+), pieces AS (
+  SELECT src, greatest(ceil(rate / 64), 1)::INT AS m, rate / greatest(ceil(rate / 64), 1) AS mean FROM rate
+), cdf AS (
+  SELECT src, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM pieces
+  UNION ALL SELECT src, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 20)
+), tables AS (
+  SELECT src, list(c ORDER BY k) AS cs FROM cdf GROUP BY src
+), draws AS (
+  SELECT d.*, t.cs, unnest(range(0, p.m)) AS i FROM documents d JOIN pieces p ON p.src = coalesce(d.source, '') JOIN tables t ON t.src = p.src
+), counted AS (
+  SELECT doc_id, text, lang, source, n_chars,
+    sum(len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('17:' || doc_id || ':' || i), 1, 13))::BIGINT / 4503599627370496.0)))::INT AS copies
+  FROM draws GROUP BY ALL
+), spread AS (
+  SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INT AS copy FROM counted
+)
+SELECT *, md5('17:order:' || doc_id || ':' || copy) AS shuffle_key FROM spread
+"""
+
+ORACLES["op7_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, text, md5(coalesce(text, '')) AS copy, string_split(text, chr(10)) AS ls FROM documents
+), windows AS (
+  SELECT doc_id, copy, pos, array_to_string(ls[pos + 1:pos + 3], chr(10)) AS w
+  FROM (SELECT doc_id, copy, ls, unnest(range(0, len(ls) - 2)) AS pos FROM split WHERE len(ls) >= 3)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, copy, pos) AS rn FROM windows WHERE regexp_matches(w, '\S')
+), covered AS (
+  SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM ranked WHERE rn > 1
+), numbered AS (
+  SELECT doc_id, unnest(ls) AS l, unnest(range(0, len(ls))) AS line FROM split
+), kept AS (
+  SELECT n.doc_id, string_agg(n.l, chr(10) ORDER BY n.line) AS body, count(*) AS n FROM numbered n ANTI JOIN covered c ON c.doc_id = n.doc_id AND c.line = n.line GROUP BY n.doc_id
+)
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.body, '') END AS text, coalesce(len(s.ls), 0)::INT AS n_lines, (coalesce(len(s.ls), 0) - coalesce(k.n, 0))::INT AS n_removed
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
