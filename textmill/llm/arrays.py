@@ -54,13 +54,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text; a longer text comes alone. Nothing is cut."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text and `rows` rows; a longer text comes alone. Nothing is cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
         length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(length.astype(np.int64)) // limit
+        group = np.cumsum(length.astype(np.int64) + limit // rows) // limit
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, neardup, packing, quality
+from . import language, lines, media, mixing, neardup, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.sound_digests(media.sniff_media(media.store_texts(_read(spark, sf_dir, "documents"))))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mixing.replicate(docs, mixing.rates(docs, exponent=0.5), seed=17)
@@ -44,7 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op4_language, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
 
