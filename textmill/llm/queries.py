@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, lines, media, mixing, neardup, packing, quality
+from . import fingerprints, language, lines, media, mixing, neardup, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_digests(media.sniff_media(media.store_texts(_read(spark, sf_dir, "documents"))))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_fingerprints, op4_language, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_fingerprints, op4_language, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
 
