@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, lines, media, mixing, neardup, packing, quality, toxicity
+from . import fingerprints, language, lines, media, mixing, neardup, packing, quality, substrings, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mixing.replicate(docs, mixing.rates(docs, exponent=0.5), seed=17)
@@ -60,7 +65,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_fingerprints, op4_language, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_fingerprints, op4_language, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
 

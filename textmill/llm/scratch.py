@@ -30,3 +30,11 @@ def discard(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
         parent.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster drop shuffle files that no table needs any more, once what they fed is written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
