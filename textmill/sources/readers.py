@@ -44,7 +44,7 @@ def resume_csv(spark: SparkSession, path: str, text_col: str = "Resume_str", id_
 
 def text_directory(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Rows (resume_id, text): one for each file, its name and whole content."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return rows.select(F.col("_metadata.file_name").alias("resume_id"), F.col("value").alias("text"))
 
 
