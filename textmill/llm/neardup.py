@@ -99,44 +99,87 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
 
 
-#: Rows of one side of a block in _crossing().
-BLOCK = 1000
+#: Buckets of up to this many members give pairs; larger ones are compared inside tasks, in blocks.
+SMALL_BUCKET = 16
+#: A block holds about so many members, and so many shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
 
 
-def _comparer(agree: int):
-    def compare(groups):
-        left = groups[groups["side"] == 0]
-        right = groups[groups["side"] == 1]
-        out = []
-        if len(left) and len(right):
-            x = np.frombuffer(b"".join(left["signature"]), np.uint8).reshape(len(left), -1)
-            y = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(len(right), -1)
-            a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-            ra, rb = left["root"].to_numpy(), right["root"].to_numpy()
-            for i in range(len(x)):
-                hit = ((y == x[i]).sum(axis=1) >= agree) & (b > a[i]) & (rb != ra[i])
-                out += [(a[i], j) for j in b[hit]]
+def spanning_links(sets: list[np.ndarray], groups: np.ndarray, percent: int, columns: int = 2048) -> list[tuple[int, int]]:
+    """Links that join all groups which any pair of sets alike enough joins: fewer than there are groups.
+
+    Intersections of all pairs come from products of incidence matrices, over the elements that two sets share at least."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    place = np.cumsum(times > 1) - 1
+    used = times[which] > 1
+    owner, which = owner[used], place[which[used]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    common = np.zeros((m, m), dtype=np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(which, [first, first + columns])
+        block = np.zeros((m, columns), dtype=np.float32)
+        block[owner[a:b], which[a:b] - first] = 1
+        common += block @ block.T
+    out, now = [], groups.copy()
+    for i in range(m):
+        both = common[i].astype(np.int64)
+        linked = (both > 0) & (100 * both >= percent * (sizes + sizes[i] - both))
+        while (js := np.flatnonzero(linked & (now != now[i]))).size:
+            out.append((i, int(js[0])))
+            now[now == now[js[0]]] = now[i]
+    return out
+
+
+def _block_linker(percent: int):
+    def link(rows):
         import pandas as pd
 
+        out = []
+        rows = rows.drop_duplicates(["rep", "text"])
+        if rows["root"].nunique() > 1:
+            sets = shingle_hashes(*text_bytes(pa.array(rows["text"], pa.large_string())))
+            rep = rows["rep"].to_numpy()
+            out = [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i, j in spanning_links(sets, rows["root"].to_numpy(), percent) if rep[i] != rep[j]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return compare
+    return link
+
+
+def _similar(agree: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s", "t"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
+
+    return keep
 
 
-def _crossing(bands: DataFrame, roots: DataFrame, signatures: DataFrame, agree: int) -> DataFrame:
-    """Pairs that share a band but lie in different groups after the first links.
+def _crossing(bands: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, done: DataFrame, percent: int, agree: int) -> DataFrame:
+    """Confirmed links between members of one bucket that the first links left in different groups.
 
-    Only buckets that hold several groups count. They are dealt out in blocks of about BLOCK rows against BLOCK rows,
-    so that no task holds a whole hot bucket, and signatures are compared inside the task."""
+    Buckets of one group are done. Small mixed ones give their pairs, which are checked by signature and then on full
+    sets. Large mixed ones are dealt out in blocks; a task compares two blocks with all of their texts and gives only
+    the links that join groups, so neither pairs nor a whole hot bucket ever stand in one place."""
     placed = bands.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = placed.join(mixed.select("key", blocks.alias("k")), "key").join(signatures, "rep")
-    rows = rows.withColumn("own", F.pmod(F.hash("rep"), F.col("k")))
-    as_left = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), F.lit(0).alias("side")).withColumnsRenamed({"own": "i", "other": "j"})
-    as_right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"), F.lit(1).alias("side")).withColumnsRenamed({"own": "j", "other": "i"})
-    # a pair of blocks is compared once: the left side carries the smaller id, so (i, j) and (j, i) are both needed
-    return as_left.unionByName(as_right).select("key", "i", "j", "side", "rep", "root", "signature").groupBy("key", "i", "j").applyInPandas(_comparer(agree), "a long, b long").distinct()
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    rows = written(placed.join(mixed.select("key", "n", "total"), "key"), "mixed")
+    small = rows.filter(F.col("n") <= SMALL_BUCKET).select("key", "rep", "root")
+    other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
+    pairs = small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    marks = signed.select("rep", "signature")
+    pairs = pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("s")), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("t")), "b")
+    links = _confirmed(written(pairs.mapInArrow(_similar(agree), "a long, b long"), "similar"), texts, percent)
+    k = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    large = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("k", k).withColumn("own", F.pmod(F.hash("rep"), F.col("k")))
+    if large.isEmpty():
+        return links
+    cells = large.select("key", "rep", "root", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root").join(texts, "rep")
+    return links.union(cells.groupBy("key", "i", "j").applyInPandas(_block_linker(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, agree: int = 42) -> DataFrame:
@@ -145,9 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * intersection >= percent * union of their full sets; a group is what links reach.
     SuperMinHash signatures of 64 values in 16 bands of 4 find candidates (a pair at 0.85 is missed with probability
     7e-6, at 0.8 with 2e-4). Equal texts are one class before anything is compared. In each bucket every member is
-    checked against the least id of the bucket and against the least of its hash order; then pairs that share a bucket
-    but still lie in different groups are compared by their whole signatures (`agree` of 64 places: a pair at 0.85 has
-    fewer with probability 1e-5) and checked too, until no link joins two groups. Copies are never expanded into pairs.
+    checked against two leaders of the bucket; then what shares a bucket but still lies in different groups is compared
+    too, in large buckets all texts in blocks, in small ones the pairs that `agree` in so many of 64 places (a pair at
+    0.85 has fewer with probability 1e-5). Copies are never expanded into pairs.
 
     Defined results: a null or wordless text has an empty set, is linked with nothing and is its own group; rows with a
     null id are left out; repeated ids share one group; other columns, whatever their names, are ignored; an empty
@@ -157,17 +200,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     signed = written(classes, "signed")
     texts = base.select(F.col("doc_id").alias("rep"), "text")
-    bands = signed.select("rep", F.explode("bands").alias("key"))
+    bands = signed.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.hash("rep")).alias("second"), F.count("*").alias("n")).filter("n > 1")
     near = bands.join(shared, "key").select("rep", F.explode(F.array("lead", "second")).alias("lead")).filter("rep <> lead")
     pairs = written(near.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "pairs")
     links = written(_confirmed(pairs, texts, percent), "confirmed")
     roots = written(connected(links), "roots")
-    crossing = written(_crossing(bands, roots, signed.select("rep", "signature"), agree).join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        late = written(_confirmed(crossing, texts, percent), "late")
-        if not late.isEmpty():
-            roots = written(connected(links.union(late)), "roots")
+    late = written(_crossing(bands, roots, signed, texts, pairs, percent, agree), "late")
+    if not late.isEmpty():
+        roots = written(connected(links.union(late)), "roots")
     discard(pairs)
     found = signed.select("rep", "copy").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("copy", F.coalesce("root", "rep").alias("group"))
@@ -177,6 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose group keeps another one. Rows that repeat the kept id all go but one."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """docs without the documents whose group keeps another one; rows that repeat an id keep the least of their texts.
+
+    Rows with a null id are in no group and stay as they are."""
+    keeps = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    stay = docs.join(keeps, id_col, "left_semi")
+    repeated = stay.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1")
+    if not repeated.isEmpty():
+        stay = stay.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")).select("__row.*")
+    return stay.union(docs.filter(F.col(id_col).isNull()))
