@@ -85,8 +85,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The unit context vector of each word slot, from all texts. Its size is fixed: 2**WORD_BITS by DIMENSIONS."""
     schema = "slot int, n long, vector binary"
-    # partial sums meet by slot; the few tasks of the second step hold a share of the slots each
-    sums = texts.select("text").mapInArrow(_context, schema).repartition(16, "slot").mapInArrow(_summed, schema).toPandas()
+    # partial sums, at most one row a slot and task, meet by slot; the tasks of the second step hold a share of the slots each
+    sums = texts.select("text").mapInArrow(_context, schema).repartition("slot").mapInArrow(_summed, schema).toPandas()
     table, seen = np.zeros((1 << WORD_BITS, DIMENSIONS)), np.zeros(1 << WORD_BITS)
     for slot, n, raw in zip(sums["slot"], sums["n"], sums["vector"], strict=True):
         table[slot], seen[slot] = np.frombuffer(raw, "<i8"), n
