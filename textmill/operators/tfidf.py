@@ -28,6 +28,12 @@ def fit(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_terms:
     return kept.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def fitted(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_terms: int = 5000, stop_words: list[str] | None = None) -> DataFrame:
+    """fit(), computed now and held by the driver: at most max_terms rows, so that later uses don't count terms again."""
+    rows = fit(docs, id_col, text_col, max_terms, stop_words)
+    return docs.sparkSession.createDataFrame([tuple(r) for r in rows.collect()], rows.schema)
+
+
 def transform(docs: DataFrame, vocabulary: DataFrame, id_col: str = "id", text_col: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """Rows (id, term, weight), of unit length for each id. The vocabulary is bounded by fit(), so it is broadcast."""
     rows = term_frequencies(docs, id_col, text_col, stop_words).join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("raw", F.col("tf") * F.col("idf"))

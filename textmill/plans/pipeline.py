@@ -48,7 +48,7 @@ def make_pairs(spark: SparkSession, data: str, out: str, config: EngineConfig) -
     made = pairs.domain_pairs(jobs.select("job_id", F.col("assigned_domain").alias("domain")), resumes.select("resume_id", "domain"), config.domain_negatives, config.seed)
     sinks.table(made, f"{out}/pairs_domain")
     texts = jobs.select(F.concat(F.lit("j"), "job_id").alias("id"), "text").unionByName(resumes.select(F.concat(F.lit("r"), "resume_id").alias("id"), "text"))
-    vocabulary = tfidf.fit(texts, max_terms=config.tfidf_terms)
+    vocabulary = tfidf.fitted(texts, max_terms=config.tfidf_terms)
     left = tfidf.transform(jobs.select(F.col("job_id").alias("id"), "text"), vocabulary)
     right = tfidf.transform(resumes.select(F.col("resume_id").alias("id"), "text"), vocabulary)
     scored = pairs.with_zeros(tfidf.similarities(left, right), jobs, resumes, config.semantic_k)

@@ -505,7 +505,7 @@ def _tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
     corpus = docs.union(items)
-    return corpus, tfidf.fit(corpus, stop_words=_STOP)
+    return corpus, tfidf.fitted(corpus, stop_words=_STOP)
 
 
 def _sides_tfidf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
