@@ -18,8 +18,9 @@ from .scratch import written
 #: Labelled examples in the index, about.
 EXAMPLES = 12_000
 #: Terms of the vectors: those most associated with the label (chi squared over the examples), if significant at one in
-#: a million (many terms are tested) and in that share of the examples of label 1: rarer ones are words of a few copies.
-TERMS, CHI_SQUARED, MIN_SHARE = 2048, 23.93, 0.012
+#: a million (many terms are tested) and in that share of the examples of label 1, but for 1.5 standard errors: rarer ones
+#: are words of a few copies.
+TERMS, CHI_SQUARED, MIN_SHARE = 2048, 23.93, 0.02
 NEIGHBOURS = 25
 #: Examples in a block of the index.
 BLOCK = 64
@@ -199,9 +200,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", t
     told = written(chosen.mapInArrow(_example_terms, "doc_id long, y int, terms array<long>, counts array<int>"), "examples")
     n, positive = told.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = told.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("with"))
+    expected = MIN_SHARE * positive
     both = F.col("df") * (n - F.col("df")) * positive * (n - positive)
     chi = F.when(both > 0, F.pow(n * F.col("with") - positive * F.col("df"), 2) * n / both).otherwise(0.0)
-    picked = seen.filter(F.col("with") >= max(2.0, MIN_SHARE * positive)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(TERMS)
+    picked = seen.filter(F.col("with") >= max(2.0, expected - 1.5 * math.sqrt(expected))).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(TERMS)
     known = np.sort(np.array([r["term"] for r in picked.collect()], np.int64).view(np.uint64))
     vectors = written(base.mapInArrow(_vectoriser(spark.sparkContext.broadcast(known)), "doc_id long, terms array<int>, counts array<int>"), "vectors")
     total, df = vectors.count(), np.zeros(len(known))
