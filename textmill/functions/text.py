@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,3 +121,22 @@ def keywords(text: Column, stop_words: list[str] | None = None) -> Column:
     """Distinct words of three characters or more, without stop words."""
     found = F.array_distinct(tokens(text, 3))
     return F.array_except(found, F.array(*map(F.lit, stop_words))) if stop_words else found
+
+
+def lemmatizer(model: str = "en_core_web_sm"):
+    """A function of a Column: lower-cased lemmas without stop words, punctuation and blanks, if the optional library
+    spaCy and its model are there; the text itself if not. The model is loaded once a task."""
+    try:
+        import spacy
+
+        spacy.load(model)
+    except (ImportError, OSError):
+        return lambda text: text
+
+    @F.pandas_udf("string")
+    def lemmas(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = spacy.load(model)
+        for texts in parts:
+            yield pd.Series([" ".join(t.lemma_.lower() for t in doc if not (t.is_stop or t.is_punct or t.is_space)) for doc in run.pipe(texts.fillna(""))], index=texts.index)
+
+    return lemmas
