@@ -106,8 +106,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+#: Digests travel as bytes; fingerprints() writes them as hex digits in the end.
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _EDGE = [("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string())]
 
 
@@ -118,10 +119,10 @@ def _digests(sampler: Sampler, ids: list, texts: list[str], following: list[str]
     own = sampler.signatures(list(unique))
     mine, after, new = own[[unique[t] for t in texts]], own[[unique[t] for t in following]], sampler.signatures(changed)
 
-    def written_out(rows: np.ndarray) -> list[str]:
-        return [r.astype(">u2").tobytes().hex() for r in rows]
+    def written_out(rows: np.ndarray) -> list[bytes]:
+        return [r.astype(">u2").tobytes() for r in rows]
 
-    columns = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in changed], written_out(mine), written_out(new), likeness(mine, new), likeness(mine, after)]
+    columns = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).digest() for t in changed], written_out(mine), written_out(new), likeness(mine, new), likeness(mine, after)]
     return [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)]
 
 
@@ -185,4 +186,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = walked.filter("edge = 1").select("doc_id", "text", "part").join(order, "part")
     start = walked.filter("edge = 0").select(F.col("part").alias("after"), F.col("text").alias("following"))
     joints = last.join(start, "after").select("doc_id", "text", "following").mapInArrow(_joint, _SCHEMA)
-    return walked.filter("edge is null").select(*[f.name for f in _ARROW]).unionByName(joints)
+    rows = walked.filter("edge is null").select(*[f.name for f in _ARROW]).unionByName(joints)
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
