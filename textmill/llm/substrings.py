@@ -68,7 +68,7 @@ _NODE = "id long, copy long, k long, u long, a int, lo int, hi int"
 
 def _nodes(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=2 << 20):
+        for batch in chunks(batches, limit=1 << 19):  # some fifteen arrays of 8 bytes for each byte of text
             got = anchors(*text_bytes(batch.column("text")), length)
             take = pa.array(got["doc"])
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), pa.array(got["k"]), pa.array(got["u"]), *[pa.array(got[c], pa.int32()) for c in ("a", "lo", "hi")]], names=["id", "copy", "k", "u", "a", "lo", "hi"])
@@ -105,7 +105,7 @@ def _contexts(length: int):
 def _parts(length: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts of nodes by offset from the anchor: k from the bytes that all windows of a part share, u from all."""
-        for batch in chunks(batches, "context", 2 << 20):
+        for batch in chunks(batches, "context", 1 << 20):
             data, offsets = text_bytes(batch.column("context"))
             prefix = prefix_hash(data)
             a, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("a", "lo", "hi"))
