@@ -221,3 +221,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             at += length
         assert at <= 2048
     assert len(fill) <= sum(tokens_out.values()) / 2048 * 1.1 + 1 and packing.LONG < 1 and len(_vocabulary()) == 2
+
+
+def test_pipeline_near_dedup_takes_links_from_80_percent(spark):
+    rng = np.random.default_rng(11)
+    rows, planted = [], []
+    for k in range(24):
+        words = [f"w{x}" for x in rng.integers(10**6, size=100)]
+        rows.append((2 * k, " ".join(words), "s", 1, 0))
+        for at in (30, 70)[: k % 3]:  # of 96 shingles 5 change with each word: 0.90 with one, 0.81 with two, 1 with none
+            words[at] = f"x{rng.integers(10**9)}"
+        rows.append((2 * k + 1, " ".join(words), "s", 1, 0))
+        a, b = (shingles(r[1]) for r in rows[-2:])
+        planted.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= x < 0.85 for x in planted) == 8
+    words = [f"v{x}" for x in range(100)]  # 76 of 96 shingles are left: 0.66
+    rows += [(100, " ".join(words), "s", 1, 0), (101, " ".join("y" if i in (10, 30, 50, 70) else w for i, w in enumerate(words)), "s", 1, 0)]
+    want = [rows[i][0] for i, root in enumerate(groups([shingles(r[1]) for r in rows], 80)) if root == i]
+    docs, _ = tables(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == want
+    assert len(want) == 26

@@ -217,11 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, agree: int = 42) -> DataFrame:
     """docs without the documents whose group keeps another one; rows that repeat an id keep the least of their texts.
 
-    Rows with a null id are in no group and stay as they are."""
-    keeps = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    Rows with a null id are in no group and stay as they are. `percent` and `agree` are those of near_duplicates()."""
+    keeps = near_duplicates(docs, id_col, text_col, percent, agree).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
     stay = docs.join(keeps, id_col, "left_semi")
     repeated = stay.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1")
     if not repeated.isEmpty():
