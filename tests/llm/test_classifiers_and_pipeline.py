@@ -88,6 +88,33 @@ def test_training_sample_is_bounded(spark):
     assert 400 < n < 600 and labelled.training_sample(labels, "toxic", 10**6).count() == sum(not held(i) for i in range(5000))
 
 
+def test_toxicity_compares_whole_texts(spark):
+    rows = labelled_corpus(200)
+    copied = next(r for r in rows if not held(r[0]) and not r[4])  # without a word that goes with the label
+    rows += [(700, copied[1], "s", 1, 0), (701, copied[1] + " zyzzyva quokka quokka", "s", 1, 0), (702, "zyzzyva", "s", 1, 0)]
+    docs, labels = tables(spark, rows)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels.filter("doc_id < 700")).collect()}
+    bags = {r[0]: collections.Counter(bag(r[1].replace("!", ""))) for r in rows}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    known = [(bags[r[0]], r[4]) for r in rows if r[0] < 700 and not held(r[0])]
+
+    def weight(w, tf):
+        seen = np.array([w in b for b, _ in known])
+        r = np.corrcoef(seen, [y for _, y in known])[0, 1] if 0 < seen.sum() < len(known) else 0.0
+        boost = abs(r) if len(known) * r * r >= toxicity.CHI_SQUARED else 0.0
+        return (1 + np.log(tf)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + toxicity.BOOST * boost)
+
+    def cosine(i, j):
+        a, b = ({w: weight(w, n) for w, n in bags[k].items()} for k in (i, j))
+        return sum(a[w] * b.get(w, 0.0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    assert got[700].evidence[0].doc_id == copied[0] and abs(got[700].evidence[0].cosine - 1) < 1e-5
+    assert got[701].evidence[0].doc_id == copied[0] and got[701].evidence[0].cosine < 0.99
+    for i in (3, 701):
+        assert all(abs(e.cosine - cosine(i, e.doc_id)) < 1e-5 for e in got[i].evidence) and len(got[i].evidence) == 3
+    assert got[702].evidence == []
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(0)
     n, terms = 700, 80

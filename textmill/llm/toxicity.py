@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine through an inverted index with block maxima."""
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors through an inverted index."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +18,10 @@ from .scratch import written
 
 #: Labelled examples in the index, about.
 EXAMPLES = 12_000
-#: Terms of the vectors: those most associated with the label (chi squared over the examples), if significant at one in
-#: a million (many terms are tested) and in that share of the examples of label 1, but for 1.5 standard errors: rarer ones
-#: are words of a few copies.
-TERMS, CHI_SQUARED, MIN_SHARE = 2048, 23.93, 0.02
+#: A word of the examples weighs 1 + BOOST * its correlation with the label, if that is significant at one in a million
+#: (many words are tested), else 1. No word is left out.
+CHI_SQUARED, BOOST = 23.93, 10.0
 NEIGHBOURS = 25
-#: Examples in a block of the index.
-BLOCK = 64
 #: Weight of the share of label 1 among all examples in a vote.
 PRIOR = 2.0
 
@@ -51,81 +49,81 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _vectoriser(vocabulary):
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
+        known, row = vocabulary.value, TaskContext.get().partitionId() << 40
         for batch in chunks(batches, limit=1 << 20):
-            low = LOWER_ASCII[(raw := text_bytes(batch.column("text")))[0]]
-            starts, ends, doc = word_spans(low, raw[1], _LETTERS)
-            words = hash_spans(prefix_hash(low), starts, ends)
+            owner, words, counts = term_counts(*text_bytes(batch.column("text")))
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-            pairs, counts = np.unique(doc[hit] * max(len(known), 1) + at[hit], return_counts=True)
-            owner, term = np.divmod(pairs, max(len(known), 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(owner, batch.num_rows, term, pa.int32()), _lists(owner, batch.num_rows, counts, pa.int32())], names=["doc_id", "terms", "counts"])
+            n, new = batch.num_rows, ~hit
+            lists = [_lists(owner[hit], n, at[hit], pa.int32()), _lists(owner[hit], n, counts[hit], pa.int32()), _lists(owner[new], n, words[new].view(np.int64), pa.int64()), _lists(owner[new], n, counts[new], pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("doc_id"), *lists], names=["row", "doc_id", "terms", "counts", "others", "other_counts"])
+            row += n
 
     return vectorise
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with the largest weight of each term in each block of examples."""
+    """Postings of unit vectors by term. (The name is from when it held block maxima; see nearest().)"""
 
     def __init__(self, ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        # like examples side by side make block maxima tight
         order = sorted(range(len(ids)), key=lambda i: (int(y[i]), int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, int(ids[i])))
         self.ids, self.y = ids[order], y[order].astype(float)
         rows = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         cols = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weights = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         by = np.lexsort((rows, cols))
-        self.docs, self.weights, cols = rows[by], weights[by], cols[by]
+        self.docs, self.weights, cols = rows[by].astype(np.int32), weights[by].astype(np.float32), cols[by]
         self.bounds = np.searchsorted(cols, np.arange(terms + 1))
-        self.blocks = -(-max(len(order), 1) // BLOCK)
-        self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most, (cols, self.docs // BLOCK), self.weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine over 0 (ties: the lower place), and the cosines; `skip`: an id left out.
 
-        Blocks are taken by their upper bounds: first those that surely hold k examples, then all others whose bound
-        reaches the k-th cosine so far. No example of a block that isn't looked at can be among the k."""
-        bound = weights @ self.most[terms]
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms]
+        All postings of the terms are added up: bounds of blocks took more time than they saved on whole texts."""
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        spans = [slice(a, b) for a, b in zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist(), strict=True)]
         docs = np.concatenate([self.docs[s] for s in spans])
-        parts = np.concatenate([self.weights[s] * w for s, w in zip(spans, weights, strict=True)])
-        block = docs // BLOCK
-        need = 4 + -(-k // BLOCK)
-        least = np.partition(bound, -need)[-need] if len(bound) > need else -1.0
-        for last in (False, True):
-            use = bound[block] >= max(least, 1e-12)
-            scores = np.bincount(docs[use], parts[use], minlength=len(self.ids))
-            found = np.flatnonzero(scores > 1e-9)
-            if skip is not None:
-                found = found[self.ids[found] != skip]
-            if len(found) > k:
-                cut = np.partition(scores[found], -k)[-k]
-                found = found[scores[found] >= cut]
-            found = found[np.lexsort((found, -scores[found]))][:k]
-            kth = scores[found[-1]] - 1e-9 if len(found) == k else 0.0
-            if last or least <= kth:
-                return found, scores[found]
-            least = kth
-        raise AssertionError
+        parts = np.concatenate([self.weights[s] for s in spans]) * np.repeat(weights, self.bounds[terms + 1] - self.bounds[terms])
+        scores = np.bincount(docs, parts, minlength=len(self.ids))
+        if skip is not None:
+            scores[self.ids == skip] = 0.0
+        found = np.flatnonzero(scores > 1e-9)
+        if len(found) > k:
+            cut = np.partition(scores[found], -k)[-k]
+            found = found[scores[found] >= cut]
+        found = found[np.lexsort((found, -scores[found]))][:k]
+        return found, scores[found]
 
 
 class Votes:
-    """The index with its weights; turns a document's term counts into a calibrated score and evidence."""
+    """The index with its weights, and what turns the labels and cosines of neighbours into a calibrated score."""
 
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray):
-        self.idf = idf
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray):
+        self.weights = weights
         ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
-        vectors = [self.unit(e[2], e[3]) for e in examples]
-        self.index = BlockMaxIndex(ids, y, vectors, len(idf))
-        self.prior = (y.sum() + 1.0) / (len(y) + 2.0)
+        vectors = [self.unit(e[2], e[3])[:2] for e in examples]
+        self.index = BlockMaxIndex(ids, y, vectors, len(weights))
         bare = np.array([len(v[0]) == 0 for v in vectors], bool)
-        self.bare = (y[bare].sum() + PRIOR * self.prior) / (bare.sum() + PRIOR)
-        self.slope, self.shift = 1.0, 0.0
-        told = [(self.vote(v, skip=int(i))[0], t) for i, t, v in zip(ids, y, vectors, strict=True) if len(v[0])]
+        self.scale = Scale(y, bare)
+        near = [(self.index.nearest(*v, NEIGHBOURS, int(i)), t) for i, t, v in zip(ids, y, vectors, strict=True) if len(v[0])]
+        told = [(self.scale.vote(self.index.y[found], cosine), t) for (found, cosine), t in near]
         if len({t for _, t in told}) == 2:
-            self._calibrate(np.array([self._logit(s) for s, _ in told]), np.array([t for _, t in told], float))
+            self.scale._calibrate(np.array([self.scale._logit(s) for s, _ in told]), np.array([t for _, t in told], float))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The unit vector of these terms, and the square of its length before."""
+        weights = (1 + np.log(np.maximum(counts, 1))) * self.weights[terms]
+        square = float(weights @ weights)
+        return terms, weights / math.sqrt(square) if square else weights, square
+
+
+class Scale:
+    """Scores of votes. It holds a few numbers only."""
+
+    def __init__(self, y: np.ndarray, bare: np.ndarray):
+        self.prior = float((y.sum() + 1.0) / (len(y) + 2.0))
+        self.bare = float((y[bare].sum() + PRIOR * self.prior) / (bare.sum() + PRIOR))
+        self.slope, self.shift = 1.0, 0.0
 
     @staticmethod
     def _logit(p: float) -> float:
@@ -145,78 +143,107 @@ class Votes:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights = (1 + np.log(np.maximum(counts, 1))) * self.idf[terms]
-        norm = math.sqrt(float(weights @ weights))
-        return terms, weights / norm if norm else weights
-
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, labels: np.ndarray, cosine: np.ndarray) -> float:
         """The weighted share of label 1 among the nearest, before calibration. An example at distance d = 1 - cosine
         has the weight 1 / (d + 0.05); the share of all examples has the weight PRIOR."""
-        if not len(vector[0]):
-            return float(self.bare), np.zeros(0, np.int64), np.zeros(0)
-        found, cosine = self.index.nearest(*vector, NEIGHBOURS, skip)
         weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
-        return float((weight @ self.index.y[found] + PRIOR * self.prior) / (weight.sum() + PRIOR)), found, cosine
+        return float((weight @ labels + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, skip: int | None = None) -> tuple[float, list[dict]]:
-        vote, found, cosine = self.vote(self.unit(terms, counts), skip)
-        score = 1 / (1 + math.exp(-(self.slope * self._logit(vote) + self.shift))) if len(terms) else vote
-        return score, [{"doc_id": int(self.index.ids[i]), "label": int(self.index.y[i]), "cosine": float(c)} for i, c in zip(found[:3], cosine[:3], strict=True)]
+    def score(self, labels: np.ndarray, cosine: np.ndarray, words: bool) -> float:
+        if not len(labels):
+            return self.prior if words else self.bare
+        return 1 / (1 + math.exp(-(self.slope * self._logit(self.vote(labels, cosine)) + self.shift)))
 
 
 EVIDENCE = "array<struct<doc_id:long,label:int,cosine:double>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
 
-def _voter(votes):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finder(votes):
+    """The nearest examples of each row, with cosines that count only words of examples."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = votes.value
         for batch in batches:
             terms, counts = batch.column("terms"), batch.column("counts")
             bounds = terms.offsets.to_numpy()
             flat_t, flat_c = terms.values.to_numpy().astype(np.int64), counts.values.to_numpy()
-            ids = batch.column("doc_id").to_pylist()
-            rows = [model.score(flat_t[a:b], flat_c[a:b], i) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], _EVIDENCE)], names=["doc_id", "score", "evidence"])
+            squares, near = [], []
+            for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                *vector, square = model.unit(flat_t[a:b], flat_c[a:b])
+                squares.append(square)
+                near.append(model.index.nearest(*vector, NEIGHBOURS, i))
+            owner = np.repeat(np.arange(len(near)), [len(f) for f, _ in near])
+            found, cosine = (np.concatenate([x[k] for x in near]) for k in (0, 1))
+            lists = [_lists(owner, len(near), v, t) for v, t in ((model.index.ids[found], pa.int64()), (model.index.y[found].astype(np.int32), pa.int32()), (cosine, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(squares, pa.float64()), *lists], names=["row", "doc_id", "square", "ids", "labels", "cosines"])
+
+    return find
+
+
+def _scorer(scale: Scale):
+    """Scores and evidence; `rest` is the square that words of no example add to a row's vector."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, evidence = [], []
+            for square, rest, ids, labels, cosines in zip(*(batch.column(c).to_pylist() for c in ("square", "rest", "ids", "labels", "cosines")), strict=True):
+                cosine = np.array(cosines) * math.sqrt(square / (square + rest)) if ids else np.zeros(0)
+                scores.append(scale.score(np.array(labels, float), cosine, square + rest > 0))
+                evidence.append([{"doc_id": i, "label": y, "cosine": float(c)} for i, y, c in zip(ids[:3], labels[:3], cosine[:3], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], names=["doc_id", "score", "evidence"])
 
     return score
 
 
+def association(known: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The size of each known term's correlation with the label over the examples; 0 where it isn't significant."""
+    n, y = len(rows), np.array([r[1] for r in rows], float)
+    each = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
+    df = np.bincount(each, minlength=len(known)).astype(float)
+    both = np.bincount(each, np.repeat(y, [len(r[2]) for r in rows]), minlength=len(known))
+    spread = df * (n - df) * y.sum() * (n - y.sum())
+    square = np.where(spread > 0, (n * both - y.sum() * df) ** 2 / np.maximum(spread, 1), 0.0)
+    return np.sqrt(np.where(n * square >= CHI_SQUARED, square, 0.0))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence): calibrated votes of the nearest labelled examples.
 
-    About `examples` labelled rows, none held out, are indexed. Vectors have the terms most associated with the label
-    among them, weighted by (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) with n and df over all documents. Evidence is
-    the nearest three examples. An example's own row never votes for itself.
+    About `examples` labelled rows, none held out, are indexed with all of their words. A word has the weight
+    (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with n and df over all documents, times 1 + BOOST * its correlation with
+    the label among the examples if that is significant. Cosines are of whole texts: a word of no example counts in a
+    document's length. Evidence is the nearest three examples. An example's own row never votes for itself.
 
-    Defined results: null and empty texts, and texts without any of the terms, score the smoothed share of label 1
-    among examples without terms; a null id is held out and scored; repeated ids are scored each; without usable
-    labels the score is 0.5; other columns are ignored; an empty table gives no rows."""
+    Defined results: null and empty texts, and texts without words, score the smoothed share of label 1 among examples
+    without words; texts that share no word with any example, that of all examples; a null id is held out and scored;
+    repeated ids are scored each; without usable labels the score is 0.5; other columns are ignored; an empty table
+    gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = training_sample(labels, target, examples)
     chosen = base.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # bounded by `examples`
     told = written(chosen.mapInArrow(_example_terms, "doc_id long, y int, terms array<long>, counts array<int>"), "examples")
-    n, positive = told.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    seen = told.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("y").cast("double").alias("with"))
-    expected = MIN_SHARE * positive
-    both = F.col("df") * (n - F.col("df")) * positive * (n - positive)
-    chi = F.when(both > 0, F.pow(n * F.col("with") - positive * F.col("df"), 2) * n / both).otherwise(0.0)
-    picked = seen.filter(F.col("with") >= max(2.0, expected - 1.5 * math.sqrt(expected))).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(TERMS)
-    known = np.sort(np.array([r["term"] for r in picked.collect()], np.int64).view(np.uint64))
-    vectors = written(base.mapInArrow(_vectoriser(spark.sparkContext.broadcast(known)), "doc_id long, terms array<int>, counts array<int>"), "vectors")
+    table = told.toArrow().combine_chunks()  # bounded by `examples`
+    flat = [table.column(c).combine_chunks() for c in ("terms", "counts")] if table.num_rows else []
+    words, counts = (x.flatten().to_numpy() for x in flat) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    known, at = np.unique(words.view(np.uint64), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(flat[0].value_lengths().to_numpy())]) if flat else [0]
+    rows = [(i, y, at[a:b], counts[a:b]) for i, y, a, b in zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    schema = "row long, doc_id long, terms array<int>, counts array<int>, others array<long>, other_counts array<int>"
+    vectors = written(base.mapInArrow(_vectoriser(spark.sparkContext.broadcast(known)), schema), "vectors")
     total, df = vectors.count(), np.zeros(len(known))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[r["term"]] = r["count"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    rows = []
-    for r in told.select("doc_id", "y", "terms", "counts").toLocalIterator():
-        terms, counts = np.array(r["terms"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)
-        at = np.minimum(np.searchsorted(known, terms), max(len(known) - 1, 0))
-        hit = known[at] == terms if len(known) else np.zeros(len(terms), bool)
-        rows.append((r["doc_id"], r["y"], at[hit], counts[hit]))
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    votes = spark.sparkContext.broadcast(Votes(rows, idf))
-    scored = vectors.mapInArrow(_voter(votes), f"doc_id long, score double, evidence {EVIDENCE}")
+    seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df[seen["term"].to_numpy()] = seen["count"].to_numpy()
+    weights = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * association(known, rows))
+    votes = Votes(rows, weights)
+    near = vectors.select("row", "doc_id", "terms", "counts").mapInArrow(_finder(spark.sparkContext.broadcast(votes)), "row long, doc_id long, square double, ids array<long>, labels array<int>, cosines array<double>")
+    others = vectors.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("w")).select("row", F.col("w.others").alias("term"), F.col("w.other_counts").alias("tf"))
+    idf = F.log((1 + total) / (1 + F.col("count"))) + 1
+    squares = others.join(others.groupBy("term").count(), "term").select("row", F.pow((1 + F.log("tf")) * idf, F.lit(2.0)).alias("part"))
+    rest = squares.groupBy("row").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # in order, so that sums don't depend on the tasks
+    rest = rest.select("row", F.aggregate("parts", F.lit(0.0), lambda x, y: x + y).alias("rest"))
+    both = near.join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    scored = both.mapInArrow(_scorer(votes.scale), f"doc_id long, score double, evidence {EVIDENCE}")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
