@@ -142,18 +142,76 @@ def without_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 120])
-def test_repeats_against_all_windows(spark, length):
+def passage_words(texts, size):
+    bags = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for t in texts]
+    homes = collections.defaultdict(set)
+    for i, w in enumerate(bags):
+        for k in range(len(w) - size + 1):
+            homes[tuple(w[k : k + size])].add(i)
+    out = []
+    for w in bags:
+        inside = np.zeros(len(w), bool)
+        for k in range(len(w) - size + 1):
+            if len(homes[tuple(w[k : k + size])]) > 1:
+                inside[k : k + size] = True
+        out.append(int(inside.sum()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "words"), [(400, 51), (120, 20), (7, 3)])
+def test_repeats_against_all_windows(spark, length, words):
     texts = corpus()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(documents(spark, texts), length).collect()}
-    assert [got[i] for i in range(len(texts))] == without_repeats(texts, length)
+    texts += ["tick tock " * 70, "tick tock " * 70 + "end", "lone " * 200]  # periods, within one text and across
+    rows = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, texts), length, words).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in map(rows.get, range(len(texts)))] == without_repeats(texts, length)
+    assert [rows[i].n_passage_words for i in range(len(texts))] == passage_words(texts, words)
+
+
+def test_repeats_by_rounds_of_buckets(spark):
+    """Every live bucket of a round holds strings alike in what its runs share; identifiers follow from the round before."""
+    units = substrings.bytes_units(120)
+    texts = [t or "" for t in corpus()]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, copy long, text string")
+    rounds = []
+    substrings.repeated_spans(docs, units, rounds).collect()
+    assert len(rounds) == 1 + len(units.widths()) and units.widths()[-1] == 1
+    assert all(hi - lo < w for w, live in zip(units.widths(), rounds[1:], strict=True) for _, _, lo, hi in live)
+    assert len(rounds[0]) > len(texts) and all(again for _, again, _, _ in rounds[-1])
+
+    raw = np.frombuffer((texts[0] + texts[0][:300]).encode(), np.uint8)  # the same strings at two places
+    spans = substrings.Spans(substrings.BYTE_CODES[raw])
+    got = substrings.anchors(substrings.BYTE_CODES[raw], np.array([0, len(raw)]), units)
+    k, a, lo, hi, before = got["k"], got["a"], got["lo"], got["hi"], None
+    for width in units.widths():
+        cut = substrings.narrower(spans, a, lo, hi, k, units, width, before)
+        a = a[cut["row"]]
+        shared = collections.defaultdict(set)
+        for number, anchor, x in zip(cut["k"], a, (a - cut["hi"]) // width, strict=True):
+            begin, end = anchor - x * width, anchor - min((x + 1) * width - 1, units.length - units.gram) + units.length
+            shared[number].add((raw[begin:end].tobytes(), int(x)))
+        assert all(len(v) == 1 for v in shared.values()) and len({next(iter(v)) for v in shared.values()}) == len(shared)
+        other = substrings.narrower(spans, a[:1], cut["lo"][:1], cut["hi"][:1], cut["k"][:1] + 1, units, 1, width)
+        same = substrings.narrower(spans, a[:1], cut["lo"][:1], cut["hi"][:1], cut["k"][:1], units, 1, width)
+        assert not set(other["k"]) & set(same["k"])  # an identifier depends on the one before
+        k, lo, hi, before = cut["k"], cut["lo"], cut["hi"], width
 
 
 def test_repeats_odd_rows(spark):
     docs = documents(spark, ["q" * 399, "r" * 100 + "s" * 400, "r" * 100 + "s" * 400, None], [1, 3, 3, None])
-    got = sorted(((r.doc_id or 0), r.n_removed, len(r.kept), len(r.removed)) for r in substrings.remove_repeats(docs).collect())
-    assert got == [(0, 0, 0, 0), (1, 0, 399, 0), (3, 500, 0, 1), (3, 500, 0, 1)]
+    got = sorted(((r.doc_id or 0), r.n_removed, len(r.kept), len(r.removed), r.n_passage_words) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(0, 0, 0, 0, 0), (1, 0, 399, 0, 0), (3, 500, 0, 1, 0), (3, 500, 0, 1, 0)]
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+    words = " ".join(f"w{i}" for i in range(60))
+    got = {r.text_id: r for r in substrings.remove_repeats(documents(spark, [words, "x " + words, words], [4, 4, 4])).withColumnRenamed("doc_id", "text_id").select("text_id", "n_passage_words").distinct().collect()}
+    assert got[4].n_passage_words == 60  # texts of one id are documents of their own
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = np.random.default_rng(2)
+    body = "".join(rng.choice(list("abcdefgh "), 1_500_000))
+    texts = [body, body[:1000] + "#" + body[700_000:], "same " * 100_000]
+    got = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(3)] == [801_000, 801_000, 500_000] and [got[i].n_spans for i in range(3)] == [2, 2, 1]
 
 
 # -- line windows -------------------------------------------------------------------------------------------------

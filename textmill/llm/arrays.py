@@ -66,13 +66,18 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of coded bytes times powers of the base; hash_spans() reads spans from it."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(len(data)), out=out[1:])
+def prefix_codes(codes: np.ndarray) -> np.ndarray:
+    """Sums of codes times powers of the base; hash_spans() reads spans from it."""
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * powers(len(codes)), out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """prefix_codes() of bytes."""
+    return prefix_codes(BYTE_CODES[data])
+
+
 def hash_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, alike for like content and length wherever they stand."""
     inverse = powers(len(prefix), inverse=True)
@@ -94,6 +99,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_codes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts in order, and where each text's words begin."""
+    starts, ends, doc = word_spans(data, offsets, inside)
+    return hash_spans(prefix_hash(data), starts, ends), np.searchsorted(doc, np.arange(len(offsets)))
+
+
 #: Words are runs of bytes outside \x20 and \x09-\x0D.
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False

@@ -13,10 +13,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
-
-
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_digests(media.sniff_media(media.store_texts(_read(spark, sf_dir, "documents"))))
 
@@ -34,8 +30,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"), length=400, passage_words=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

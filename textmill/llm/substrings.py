@@ -1,47 +1,91 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement.
+"""Removal of long repeated strings by bucket-pointer refinement.
 
-Every window of `length` bytes belongs to one anchor: the place of the least hashed q-gram in it, the first one of equals.
-Equal windows have equal anchors at equal offsets, so the q-gram at its anchor is a window's initial bucket. A node is an
-anchor with the run of windows that it stands for. Two refinements follow, each on buckets that the one before made:
+Strings are runs of units: bytes of a text, or its words. A start stands for the `length` units from it on. Starts are
+kept in runs, so that whole passages move as one row:
 
-1. nodes are sorted by (q-gram, whole content of their windows): like contents repeat as a whole; nodes alone in their
-   q-gram bucket are done;
-2. what is left is cut at fixed offsets from the anchor and bucketed by the bytes that all windows of a part share, and by
-   their whole content again;
-3. only the parts that share a bucket but not a content have their windows compared one by one.
+1. Each start has an anchor, the place of the least hashed q-gram in its string, the first of equals. Like strings have
+   like anchors at like offsets. Starts next to each other with one anchor are a run; its first bucket is its q-gram.
+2. A round sorts runs by (bucket, whole content). Buckets of one run alone are done: nothing in them repeats. Contents
+   that stand in two places repeat as a whole and are done, too. What is left is cut into narrower runs by offset from
+   the anchor, and each gets a new bucket identifier: made of the identifier that its run had before and those of the
+   strings at the earlier and later offsets that all starts of the narrower run cover besides.
+3. Rounds recur on what the round before left open, with its identifiers, until runs are single starts: then the
+   bucket identifier stands for the whole string.
 
-Buckets are counts of hashes: no bucket is ever gathered, however many texts share a passage, and copies of a content are
-one row before the shuffle. Hashes have 64 bits; the bytes themselves are what is removed."""
+Identifiers are hashes of 64 bits, of contents 128 bits more, so no numbering needs all rows in one place. Buckets are
+counts: none is ever gathered, however many texts share a passage, and copies of a content are one row before the shuffle."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, hash_spans, mix64, prefix_hash, text_bytes
+from .arrays import BYTE_CODES, GOLDEN, NOT_SPACE, chunks, hash_spans, mix64, prefix_codes, text_bytes, word_codes
 from .scratch import discard, release, written
 
-GRAM = 64
-#: Width in offsets of the parts of a node in the second refinement.
-PART = 32
 _LEAST = -(2**63)
+_OTHER = np.uint64(0x9D39247E33776D41)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Nodes of all windows inside one text each: text number, q-gram bucket k, content u, anchor a, and the windows'
-    first and last starts lo and hi, counted from the start of the text."""
-    n, width = len(data), length - gram + 1
-    names = ("doc", "k", "u", "a", "lo", "hi")
+class Units(NamedTuple):
+    """What strings are made of: `length` units a string, q-grams of `gram` units; words or bytes; and whether a string
+    must stand in another document to count (`across`) or just anywhere else."""
+
+    length: int
+    gram: int
+    words: bool = False
+    across: bool = False
+
+    def widths(self) -> list[int]:
+        """How many offsets a run spans in each round after the first; each divides the one before."""
+        step = max(1, round((self.length - self.gram + 1) ** (1 / 3)))
+        return list(dict.fromkeys([step * step, step, 1]))
+
+    def codes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A code for each unit of all texts, and where each text begins."""
+        data, offsets = text_bytes(column)
+        return word_codes(data, offsets, NOT_SPACE) if self.words else (BYTE_CODES[data], offsets)
+
+
+def bytes_units(length: int) -> Units:
+    return Units(length, max(1, min(64, length // 2)))
+
+
+def word_units(length: int) -> Units:
+    return Units(length, max(1, min(6, length // 2)), words=True, across=True)
+
+
+class Spans:
+    """Identifiers of spans of an array of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.first, self.second = prefix_codes(codes), prefix_codes(mix64(codes ^ _OTHER))
+
+    def bucket(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return hash_spans(self.first, lo, hi)
+
+    def content(self, lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of a span together with a place in it."""
+        return tuple(mix64(hash_spans(p, lo, hi) + place.astype(np.uint64) * GOLDEN).view(np.int64) for p in (self.first, self.second))
+
+
+def anchors(codes: np.ndarray, offsets: np.ndarray, units: Units) -> dict[str, np.ndarray]:
+    """Runs of all starts inside one text each: text number, q-gram bucket k, content (u, v), anchor a, and the first and
+    last start lo and hi, counted from the start of the text."""
+    n, length, gram = len(codes), units.length, units.gram
+    width = length - gram + 1
+    names = ("doc", "k", "u", "v", "a", "lo", "hi")
     if n < length:
         return {c: np.zeros(0, np.int64) for c in names}
-    prefix = prefix_hash(data)
+    spans = Spans(codes)
     at = np.arange(n - gram + 1)
-    bucket = hash_spans(prefix, at, at + gram)
+    bucket = spans.bucket(at, at + gram)
     ranked = (bucket & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)  # high bits decide, then the first place
     padded = np.full(-(-len(ranked) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(ranked)] = ranked
@@ -52,158 +96,214 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
     least = np.minimum(after[:starts], before[width - 1 : width - 1 + starts])
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     s = np.flatnonzero(doc[:starts] == doc[length - 1 :])
+    if not len(s):
+        return {c: np.zeros(0, np.int64) for c in names}
     a = (least[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     owner = doc[s]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])])) if len(s) else np.zeros(0, np.int64)
-    if not len(first):
-        return {c: np.zeros(0, np.int64) for c in names}
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])]))
     lo, hi, a = s[first], s[np.append(first[1:] - 1, len(s) - 1)], a[first]
-    content = mix64(hash_spans(prefix, lo, hi + length) + (a - lo).astype(np.uint64))
+    u, v = spans.content(lo, hi + length, a - lo)
     base = offsets[owner[first]]
-    return {"doc": owner[first], "k": bucket[a].view(np.int64), "u": content.view(np.int64), "a": a - base, "lo": lo - base, "hi": hi - base}
+    return {"doc": owner[first], "k": bucket[a].view(np.int64), "u": u, "v": v, "a": a - base, "lo": lo - base, "hi": hi - base}
 
 
-_NODE = "id long, copy long, k long, u long, a int, lo int, hi int"
+_RUN = "id long, copy long, k long, u long, v long, a int, lo int, hi int"
 
 
-def _nodes(length: int):
+def _runs(units: Units):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 19):  # some fifteen arrays of 8 bytes for each byte of text
-            got = anchors(*text_bytes(batch.column("text")), length)
+            got = anchors(*units.codes(batch.column("text")), units)
             take = pa.array(got["doc"])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), pa.array(got["k"]), pa.array(got["u"]), *[pa.array(got[c], pa.int32()) for c in ("a", "lo", "hi")]], names=["id", "copy", "k", "u", "a", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), *[pa.array(got[c]) for c in ("k", "u", "v")], *[pa.array(got[c], pa.int32()) for c in ("a", "lo", "hi")]], names=["id", "copy", "k", "u", "v", "a", "lo", "hi"])
 
     return find
 
 
-def _refine(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of nodes with bucket k and content u: one node of each content in buckets that hold a content alone and others
-    too (to be refined), and the nodes whose content occurs twice or more."""
-    kept = [c for c in nodes.columns if c not in ("k", "u")]
-    contents = nodes.groupBy("k", "u").agg(F.count("*").alias("c"), F.min(F.struct(*kept)).alias("node"))
-    buckets = contents.groupBy("k").agg(F.sum("c").alias("n"), F.min("c").alias("least")).filter("n > 1")
-    live = written(contents.join(buckets, "k").select("u", "c", "least", "node"), f"{name}-buckets")
-    again = live.filter("c > 1").select("u")
-    return live.filter("least = 1").select("node.*"), nodes.join(again, "u", "left_semi").select("id", "copy", "lo", "hi")
+def sort_round(runs: DataFrame, units: Units, name: str, last: bool = False) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """One round on runs (id, copy, k, u, v, lo, hi, ...): the open ones, those whose content repeats as a whole, and the
+    table of live buckets.
+
+    A bucket is live if more than one run is in it (from more than one document, where that is asked). Open are, of live
+    buckets that hold a content which doesn't repeat as a whole, such contents and one run of each content that does."""
+    place = [c for c in runs.columns if c not in ("k", "u", "v")]
+    doc = F.struct("id", "copy")
+    contents = runs.groupBy("k", "u", "v").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("run"), F.min(doc).alias("d0"), F.max(doc).alias("d1"))
+    contents = contents.withColumn("again", F.col("d0") != F.col("d1") if units.across else F.col("c") > 1)
+    buckets = contents.groupBy("k").agg(F.sum("c").alias("n"), F.min("again").alias("settled"), F.min("d0").alias("e0"), F.max("d1").alias("e1"))
+    buckets = buckets.filter(F.col("e0") != F.col("e1") if units.across else F.col("n") > 1)
+    live = written(contents.join(buckets.select("k", "settled"), "k").select("k", "u", "v", "again", "settled", "run"), f"{name}-buckets")
+    whole = runs.join(live.filter("again").select("k", "u", "v"), ["k", "u", "v"], "left_semi").select("id", "copy", "lo", "hi")
+    if last:
+        return None, whole, live
+    if units.across:  # a content that one document holds twice is open in all its places
+        left = live.filter("again and not settled").select("k", "run.*")
+        left = left.unionByName(runs.join(live.filter("not again").select("k", "u", "v"), ["k", "u", "v"], "left_semi").select("k", *place))
+    else:
+        left = live.filter("not settled").select("k", "run.*")
+    return left, whole, live
+
 
+_CONTEXT = "id long, copy long, at int, a int, k long, lo int, hi int, context binary"
+
+
+def _contexts(units: Units):
+    """The units that a run's strings cover: bytes as they are, words by their codes of 8 bytes."""
 
-def _contexts(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "copy", "a", "lo", "hi", "context"]
-        for batch in chunks(batches, limit=2 << 20):
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["id", "copy", "at", "a", "k", "lo", "hi", "context"]
+        for batch in chunks(batches, limit=1 << 20):
             rows: list[tuple] = []
-            for key, copy, text, nodes in zip(*(batch.column(c).to_pylist() for c in ("id", "copy", "text", "nodes")), strict=True):
-                raw = text.encode()
-                rows += [(key, copy, x["a"], x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]) for x in nodes]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            if units.words:
+                codes, offsets = units.codes(batch.column("text"))
+                raws = [codes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            else:
+                raws = [t.encode() for t in batch.column("text").to_pylist()]
+            size = 8 if units.words else 1
+            for key, copy, raw, runs in zip(batch.column("id").to_pylist(), batch.column("copy").to_pylist(), raws, batch.column("runs").to_pylist(), strict=True):
+                rows += [(key, copy, x["lo"], x["a"], x["k"], x["lo"], x["hi"], raw[size * x["lo"] : size * (x["hi"] + units.length)]) for x in runs]
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000], strict=True), types, strict=True)], names=names)
 
     return cut
 
 
-def _parts(length: int):
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts of nodes by offset from the anchor: k from the bytes that all windows of a part share, u from all."""
-        for batch in chunks(batches, "context", 1 << 20):
-            data, offsets = text_bytes(batch.column("context"))
-            prefix = prefix_hash(data)
-            a, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("a", "lo", "hi"))
-            first, last = (a - hi) // PART, (a - lo) // PART
-            row = np.repeat(np.arange(len(a)), last - first + 1)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
-            part_lo, part_hi = np.maximum(lo[row], a[row] - (j + 1) * PART + 1), np.minimum(hi[row], a[row] - j * PART)
-            shift = offsets[row] - lo[row]
-            core = a[row] - j * PART + shift
-            k = mix64(hash_spans(prefix, core, core - PART + 1 + length) + j.astype(np.uint64))
-            u = mix64(hash_spans(prefix, part_lo + shift, part_hi + shift + length) ^ mix64((a[row] - part_lo).astype(np.uint64)))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), pa.array(k.view(np.int64)), pa.array(u.view(np.int64)), pa.array(lo[row], pa.int32()), pa.array(part_lo, pa.int32()), pa.array(part_hi, pa.int32())], names=["id", "copy", "k", "u", "at", "lo", "hi"])
-
-    return split
-
-
-def _windows(length: int):
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each window of the chosen parts by itself."""
+def narrower(spans: Spans, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray, units: Units, width: int, before: int | None) -> dict[str, np.ndarray]:
+    """Runs cut by offset from the anchor into runs of `width` offsets (`before`: the width they had; None: the first
+    runs, whose bucket is the q-gram at a). Places are those in the codes of `spans`. row tells which run each is of.
+
+    The strings of a run of offsets x..y share the units from a - x on, `length` - (y - x) of them. A narrower run shares
+    more, to both sides: its bucket identifier is made of the identifier before and those of the two strings added."""
+    deepest = units.length - units.gram
+    first, last = (a - hi) // width, (a - lo) // width
+    many = last - first + 1
+    row = np.repeat(np.arange(len(a)), many)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+    anchor = a[row]
+
+    def core(j: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        return anchor - j * width, anchor - np.minimum((j + 1) * width - 1, deepest) + units.length
+
+    start, end = core(j, width)
+    old_start, old_end = (anchor, anchor + units.gram) if before is None else core(j * width // before, before)
+    bucket = mix64(k[row].view(np.uint64) ^ mix64(spans.bucket(old_end, end) + j.astype(np.uint64) * GOLDEN))
+    bucket = mix64(bucket + spans.bucket(start, old_start) * GOLDEN)
+    part_lo, part_hi = np.maximum(lo[row], anchor - (j + 1) * width + 1), np.minimum(hi[row], anchor - j * width)
+    u, v = spans.content(part_lo, part_hi + units.length, anchor - part_lo)
+    return {"row": row, "k": bucket.view(np.int64), "u": u, "v": v, "lo": part_lo, "hi": part_hi}
+
+
+def _cutter(units: Units, width: int, before: int | None):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "context", 1 << 20):
             data, offsets = text_bytes(batch.column("context"))
-            prefix = prefix_hash(data)
-            parts = batch.column("parts").to_pylist()
-            at = batch.column("at").to_numpy().astype(np.int64)
-            row = np.concatenate([np.full(x["hi"] - x["lo"] + 1, i) for i, p in enumerate(parts) for x in p])
-            s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for p in parts for x in p])
-            begin = s - at[row] + offsets[row]
-            w = hash_spans(prefix, begin, begin + length)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), pa.array(w.view(np.int64)), pa.array(s, pa.int32())], names=["id", "copy", "w", "s"])
+            codes, offsets = (data.view(np.uint64), offsets // 8) if units.words else (BYTE_CODES[data], offsets)
+            runs = batch.column("runs")
+            of = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy())
+            flat = runs.flatten()
+            k, lo, hi = (flat.field(c).to_numpy().astype(np.int64) for c in ("k", "lo", "hi"))
+            at, a = (batch.column(c).to_numpy().astype(np.int64)[of] for c in ("at", "a"))
+            shift = offsets[of] - at
+            got = narrower(Spans(codes), a + shift, lo + shift, hi + shift, k, units, width, before)
+            row, back = got["row"], shift[got["row"]]
+            take = pa.array(of[row])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("id", "copy", "at")] + [pa.array(got[c]) for c in ("k", "u", "v")] + [pa.array(got[c] - back, pa.int32()) for c in ("lo", "hi")], names=["id", "copy", "at", "k", "u", "v", "lo", "hi"])
+
+    return cut
+
+
+def repeated_spans(docs: DataFrame, units: Units, rounds: list | None = None) -> DataFrame:
+    """Rows (id, copy, spans) for documents (id, copy, text): starts lo..hi of strings that also start elsewhere.
+
+    `rounds` (for tests) gets the collected live buckets of each round."""
+    spark = docs.sparkSession
 
-    return hashes
+    def watch(live: DataFrame) -> None:
+        if rounds is not None:
+            rounds.append([(r.k, r.again, r.run.lo, r.run.hi) for r in live.collect()])
+
+    runs = written(docs.mapInArrow(_runs(units), _RUN), "runs")
+    left, found, live = sort_round(runs, units, "grams")
+    watch(live)
+    asked = left.groupBy("id", "copy").agg(F.collect_list(F.struct("k", "a", "lo", "hi")).alias("runs"))
+    # rows alike in id and text share runs: one of them is read
+    texts = docs.join(asked, ["id", "copy"]).select("id", "copy", "text", "runs")
+    contexts = written(texts.mapInArrow(_contexts(units), _CONTEXT).dropDuplicates(["id", "copy", "at"]), "contexts")
+    done = [written(found, "repeats")]
+    discard(runs)
+    discard(live)
+    release(spark)
+    chosen = contexts.withColumn("runs", F.array(F.struct("k", "lo", "hi")))
+    before, tables = None, [contexts]
+    for width in units.widths():
+        schema = "id long, copy long, at int, k long, u long, v long, lo int, hi int"
+        parts = written(chosen.select("id", "copy", "at", "a", "context", "runs").mapInArrow(_cutter(units, width, before), schema), "parts")
+        left, found, live = sort_round(parts, units, "parts", last=width == 1)
+        watch(live)
+        done.append(written(found, "repeats"))
+        tables += [parts, live]
+        if left is not None:
+            again = left.groupBy("id", "copy", "at").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("runs"))
+            chosen = contexts.select("id", "copy", "at", "a", "context").join(again, ["id", "copy", "at"])
+        before = width
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    spans = written(every.groupBy("id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    for table in (*tables, *done):
+        discard(table)
+    release(spark)
+    return spans
 
 
-def _remover(length: int):
+def _covered(spans: pa.Scalar, size: int, length: int) -> np.ndarray:
+    """Which of `size` units the strings from lo to hi cover."""
+    lo, hi = (spans.values.field(c).to_numpy() for c in ("lo", "hi"))
+    step = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(step, lo, 1)
+    np.add.at(step, hi + length, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _remover(length: int, passage: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             rows = []
-            for key, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
+            for key, text, spans, passages in zip(*(batch.column(c) for c in ("doc_id", "text", "spans", "passages")), strict=True):
                 raw = text.as_py().encode()
-                kept, covered, runs = raw, 0, []
+                kept, covered, runs, words = raw, 0, [], 0
                 if spans.is_valid and len(spans.values):
-                    lo, hi = (spans.values.field(c).to_numpy() for c in ("lo", "hi"))
-                    step = np.zeros(len(raw) + 1, dtype=np.int64)
-                    np.add.at(step, lo, 1)
-                    np.add.at(step, hi + length, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    runs = turn.reshape(-1, 2).tolist()
+                    gone = _covered(spans, len(raw), length)
+                    runs = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
                     covered = int(gone.sum())
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((key, len(raw), covered, len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in runs]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
+                if passages.is_valid and len(passages.values):
+                    words = int(_covered(passages, int(passages.values.field("hi").to_numpy().max()) + passage, passage).sum())
+                rows.append((key, len(raw), covered, len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in runs], words))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", "n_passage_words"])
 
     return remove
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Rows (id, copy, spans) for documents (id, copy, text): windows lo..hi whose `length` bytes also start elsewhere."""
-    spark = docs.sparkSession
-    nodes = written(docs.mapInArrow(_nodes(length), _NODE), "nodes")
-    open_nodes, whole = _refine(nodes, "grams")
-    asked = open_nodes.groupBy("id", "copy").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("nodes"))
-    # rows alike in id and text share nodes: one of them is read
-    texts = docs.join(asked, ["id", "copy"]).select("id", "copy", "text", "nodes")
-    contexts = written(texts.mapInArrow(_contexts(length), "id long, copy long, a int, lo int, hi int, context binary").dropDuplicates(["id", "copy", "lo"]), "contexts")
-    whole = written(whole, "whole")
-    discard(nodes)
-    release(spark)
-    parts = written(contexts.mapInArrow(_parts(length), "id long, copy long, k long, u long, at int, lo int, hi int"), "parts")
-    open_parts, whole_parts = _refine(parts, "parts")
-    chosen = open_parts.groupBy("id", "copy", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    chosen = contexts.withColumnRenamed("lo", "at").join(chosen, ["id", "copy", "at"]).select("id", "copy", "at", "context", "parts")
-    windows = written(chosen.mapInArrow(_windows(length), "id long, copy long, w long, s int"), "windows")
-    again = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
-    single = windows.join(again, "w", "left_semi").select("id", "copy", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    found = whole.union(whole_parts).union(single).groupBy("id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    found = written(found, "spans")
-    for table in (contexts, parts, windows, whole):
-        discard(table)
-    release(spark)
-    return found
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, removed): texts as UTF-8 without repeated strings.
+def remove_repeats(docs: DataFrame, length: int = 400, passage_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, removed, n_passage_words): texts as UTF-8 without
+    repeated strings.
 
     Each byte goes that lies in a string of `length` bytes which also starts anywhere else, in another text or the same
     one, overlaps included; strings are judged on the input. kept has the remaining bytes joined (cuts may fall inside
-    a character), removed the maximal removed runs.
+    a character), removed the maximal removed runs. n_passage_words counts, and removes nothing, the words (separated by
+    blanks) that lie in a run of `passage_words` words which also stands in another document.
 
     Defined results: null and empty texts have no bytes; texts shorter than `length` are kept whole; rows alike in id
-    and text are different documents, so both go if long enough; a null id stays null; other columns are ignored; an
-    empty table gives no rows."""
+    and text are different documents to the byte strings, so both go if long enough, and one document to the passages;
+    a null id stays null; other columns are ignored; an empty table gives no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
-    spans = repeated_spans(base.select("id", "copy", "text"), length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>"
-    return base.join(spans, ["id", "copy"], "left").select("doc_id", "text", "spans").mapInArrow(_remover(length), schema)
+    rows = base.select("id", "copy", "text")
+    spans = repeated_spans(rows, bytes_units(length))
+    passages = repeated_spans(rows, word_units(passage_words)).withColumnRenamed("spans", "passages")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>, n_passage_words long"
+    joined = base.join(spans, ["id", "copy"], "left").join(passages, ["id", "copy"], "left")
+    return joined.select("doc_id", "text", "spans", "passages").mapInArrow(_remover(length, passage_words), schema)
