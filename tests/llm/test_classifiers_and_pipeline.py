@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -83,61 +84,104 @@ def test_classifiers_odd_rows(spark):
 
 
 def test_training_sample_is_bounded(spark):
-    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
-    n = labelled.training_sample(labels, "toxic", 500).count()
-    assert 400 < n < 600 and labelled.training_sample(labels, "toxic", 10**6).count() == sum(not held(i) for i in range(5000))
-
-
-def test_toxicity_compares_whole_texts(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    usable = [i for i in range(5000) if not held(i)]
+    n = labelled.training_sample(labels, "toxic", 500)[0].count()
+    assert 400 < n < 600 and labelled.training_sample(labels, "toxic", 10**6)[0].count() == len(usable)
+    rows, share = labelled.training_sample(labels, "toxic", 500, by_label=True)
+    by = collections.Counter(r.y for r in rows.collect())
+    assert 180 < by[0] < 320 and 180 < by[1] < 320 and abs(share - sum(i % 10 == 0 for i in usable) / len(usable)) < 0.001
+    few = labelled.training_sample(labels, "toxic", 2000, by_label=True)[0]
+    by = collections.Counter(r.y for r in few.collect())
+    assert by[1] == sum(i % 10 == 0 for i in usable) and 1800 < sum(by.values()) < 2200
+    texts = spark.createDataFrame([(1, "b", 0), (1, "a", 0), (2, "c", 1)], "doc_id long, text string, y int")
+    assert sorted(tuple(r) for r in labelled.one_text_each(texts).collect()) == [(1, "a", 0), (2, "c", 1)]
+
+
+def toxicity_by_hand(docs, labels):
+    """Scores of (id, text) rows by dense vectors, with labels by id."""
+    bags = [collections.Counter(re.findall("[a-z\x80-\uffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for _, t in docs]
+    df = collections.Counter(w for b in bags for w in b)
+    known = [i for i, (d, _) in enumerate(docs) if d in labels and not held(d)]
+    y = np.array([labels[docs[i][0]] for i in known], float)
+    words = sorted({w for i in known for w in bags[i]})
+    seen = np.array([[w in bags[i] for w in words] for i in known], float)
+    weight = np.array([np.log((1 + len(docs)) / (1 + df[w])) + 1 for w in words])
+    for j in range(len(words)):
+        r = np.corrcoef(seen[:, j], y)[0, 1] if 0 < seen[:, j].sum() < len(known) else 0.0
+        weight[j] *= 1 + toxicity.BOOST * (abs(r) if len(known) * r * r >= toxicity.CHI_SQUARED else 0.0)
+    raw = np.array([[(1 + np.log(b[w])) if w in b else 0.0 for w in words] for b in bags]) * weight
+    raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-30)
+    cosines = raw @ raw[known].T
+    scale = toxicity.Scale(y, np.array([not bags[i] for i in known]))
+
+    def near(i):
+        c = np.where(np.array([docs[k][0] == docs[i][0] for k in known]), 0.0, cosines[i])
+        best = np.argsort(-c, kind="stable")[: toxicity.NEIGHBOURS]
+        best = best[c[best] > 1e-9]
+        return y[best], c[best]
+
+    votes = [(scale.vote(*near(i)), docs[i][0]) for i in known if len(near(i)[0])]
+    scale.calibrate(np.array([v for v, _ in votes]), np.array([labels[d] for _, d in votes]), (y.sum() + 1) / (len(y) + 2))
+    return [scale.score(*near(i), bool(bags[i])) for i in range(len(docs))], cosines
+
+
+def test_toxicity_scores_against_dense_vectors(spark):
     rows = labelled_corpus(200)
-    copied = next(r for r in rows if not held(r[0]) and not r[4])  # without a word that goes with the label
-    rows += [(700, copied[1], "s", 1, 0), (701, copied[1] + " zyzzyva quokka quokka", "s", 1, 0), (702, "zyzzyva", "s", 1, 0)]
+    copied = next(r for r in rows if not held(r[0]) and not r[4])
+    rows += [(700, copied[1], "s", 1, 0), (701, copied[1] + " zyzzyva quokka quokka", "s", 1, 0), (702, "zyzzyva", "s", 1, 0), (703, None, "s", 1, 0), (704, "?!", "s", 1, 0)]
     docs, labels = tables(spark, rows)
     got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels.filter("doc_id < 700")).collect()}
-    bags = {r[0]: collections.Counter(bag(r[1].replace("!", ""))) for r in rows}
-    df = collections.Counter(w for b in bags.values() for w in b)
-    known = [(bags[r[0]], r[4]) for r in rows if r[0] < 700 and not held(r[0])]
+    want, cosines = toxicity_by_hand([(r[0], r[1]) for r in rows], {r[0]: r[4] for r in rows if r[0] < 700})
+    assert np.allclose([got[r[0]].score for r in rows], want, atol=2e-3)
+    assert got[700].evidence[0].doc_id == copied[0] and abs(got[700].evidence[0].cosine - 1) < 1e-5
+    assert got[701].evidence[0].doc_id == copied[0] and got[702].evidence == [] and got[703].score == got[704].score
+    at = {r[0]: i for i, r in enumerate(rows)}
+    known = [r[0] for r in rows if r[0] < 700 and not held(r[0])]
+    for i in (3, 50, 701):
+        assert all(abs(e.cosine - cosines[at[i], known.index(e.doc_id)]) < 1e-5 for e in got[i].evidence) and len(got[i].evidence) == 3
 
-    def weight(w, tf):
-        seen = np.array([w in b for b, _ in known])
-        r = np.corrcoef(seen, [y for _, y in known])[0, 1] if 0 < seen.sum() < len(known) else 0.0
-        boost = abs(r) if len(known) * r * r >= toxicity.CHI_SQUARED else 0.0
-        return (1 + np.log(tf)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + toxicity.BOOST * boost)
 
-    def cosine(i, j):
-        a, b = ({w: weight(w, n) for w, n in bags[k].items()} for k in (i, j))
-        return sum(a[w] * b.get(w, 0.0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+def test_toxicity_of_very_long_and_repeated_texts(spark):
+    rows = labelled_corpus(150)
+    long = " ".join(r[1] for r in rows[:40]) * 90  # over a million characters
+    rows += [(800, long, "s", 1, 0), (3, "another text", "s", 1, 0), (3, "another text", "s", 1, 0)]
+    docs, labels = tables(spark, rows)
+    got = toxicity.toxicity_scores(docs, labels.dropDuplicates(["doc_id"])).collect()
+    assert len(got) == len(rows) and len(long) > 10**6 and len({r.score for r in got if r.doc_id == 3}) <= 2
 
-    assert got[700].evidence[0].doc_id == copied[0] and abs(got[700].evidence[0].cosine - 1) < 1e-5
-    assert got[701].evidence[0].doc_id == copied[0] and got[701].evidence[0].cosine < 0.99
-    for i in (3, 701):
-        assert all(abs(e.cosine - cosine(i, e.doc_id)) < 1e-5 for e in got[i].evidence) and len(got[i].evidence) == 3
-    assert got[702].evidence == []
+
+def index_of(vectors, y, terms, block):
+    owner = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    cols, weights = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+    return toxicity.BlockMaxIndex(np.arange(len(vectors)), y, owner, cols, weights, np.bincount(cols, minlength=terms), block)
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("block", [1, 4, 16, 1000])
+def test_index_is_exact_and_skips_postings(block):
     rng = np.random.default_rng(0)
     n, terms = 700, 80
     vectors = []
-    for _ in range(n):
-        t = np.sort(rng.choice(terms, int(rng.integers(0, 12)), replace=False))
+    for i in range(n):
+        t = np.sort(rng.choice(terms // 2, int(rng.integers(0, 12)), replace=False)) + (i % 2) * terms // 2  # two languages
         w = rng.random(len(t))
         vectors.append((t, w / np.linalg.norm(w) if len(t) else w))
-    y = rng.integers(0, 2, n)
-    index = toxicity.BlockMaxIndex(np.arange(n), y, vectors, terms)
-    dense = np.zeros((n, terms))
+    vectors += [vectors[5]] * 40  # ties at the cut
+    index = index_of(vectors, rng.integers(0, 2, len(vectors)), terms, block)
+    dense = np.zeros((len(vectors), terms))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for i in range(0, n, 7):
-        if not len(vectors[i][0]):
-            continue
+    shares = []
+    for i in range(0, len(vectors), 7):
         for skip in (None, i):
-            found, cosine = index.nearest(*vectors[i], 25, skip)
+            found, cosine, read = index.nearest(*vectors[i], 25, skip)
             scores = dense @ dense[i]
             if skip is not None:
                 scores[i] = -1
             want = np.sort(scores[scores > 1e-9])[::-1][:25]
-            assert np.allclose(cosine, want) and np.allclose(scores[index.ids[found]], cosine)
+            assert np.allclose(cosine, want, atol=1e-6) and np.allclose(scores[index.ids[found]], cosine, atol=1e-6)
+            shares.append(read)
+    assert np.mean(shares) < (0.9 if block <= 16 else 1.01) and max(shares) <= 1
 
 
 def test_terms_are_letter_runs():

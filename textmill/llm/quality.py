@@ -123,7 +123,8 @@ def _pooler(vectors):
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[str, np.ndarray | float]:
-    """A network of one hidden layer (tanh) by Adam with early stopping, then a temperature on rows held back for it.
+    """A network of one hidden layer (tanh) by Adam. Of the rows a sixth is held back to stop early by, and another sixth,
+    used for nothing else, sets the temperature.
 
     With no rows, or rows of one class only, it scores that class's smoothed share."""
     rng = np.random.default_rng(seed)
@@ -135,7 +136,10 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
         return model
     z = np.clip((x - mean) / scale, -8, 8)
     order = rng.permutation(len(y))
-    back, train = order[: max(1, len(y) // 6)], order[max(1, len(y) // 6) :]
+    sixth = max(1, len(y) // 6)
+    back, last, train = order[:sixth], order[sixth : 2 * sixth], order[2 * sixth :]
+    if not len(train):
+        return model
     p = {"w1": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": model["b2"].copy()}
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     best, least, step = p, np.inf, 0
@@ -157,8 +161,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
         if loss < least:
             best, least = p, loss
     model |= best
-    logit = np.tanh(z[back] @ best["w1"] + best["b1"]) @ best["w2"] + best["b2"]
-    return model | {"temperature": temperature(logit, y[back])}
+    logit = np.tanh(z[last] @ best["w1"] + best["b1"]) @ best["w2"] + best["b2"]
+    return model | {"temperature": temperature(logit, y[last])}
 
 
 def probability(model: dict, x: np.ndarray) -> np.ndarray:
@@ -181,18 +185,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
 
     Word vectors are sums of the sparse random index vectors of neighbours, over all documents; a document is pooled to
     the mean and the root mean square of its words' unit vectors, with its length and share of fresh words. About
-    `train_rows` labelled rows, none held out, train the network; a sixth of them sets its temperature.
+    `train_rows` labelled rows, none held out, train the network; a sixth of them stops it and a sixth sets its temperature.
 
     Defined results: null and empty texts have zero features and get the score of these; a null id is held out and
-    scored; repeated ids are scored each; labels of ids that don't occur are ignored; without usable labels the score is
+    scored; repeated ids are scored each, and the least of their features are learned from; labels of ids that don't occur are ignored; without usable labels the score is
     0.5; other columns are ignored; an empty table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     context = base.sparkSession.sparkContext.broadcast(word_vectors(base))
     pooled = written(base.mapInArrow(_pooler(context), "doc_id long, features binary"), "pooled")
-    sample = training_sample(labels, target, train_rows)
-    rows = pooled.join(sample, "doc_id").select("doc_id", "y", "features").toPandas()
+    sample, _ = training_sample(labels, target, train_rows)
+    rows = pooled.join(sample, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("features").alias("features")).toPandas()  # bounded by `train_rows`
     rows["features"] = rows["features"].map(bytes)
-    rows = rows.sort_values(["doc_id", "features"]).drop_duplicates(["doc_id", "features"])
+    rows = rows.sort_values("doc_id")
     x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * DIMENSIONS + 4))
     model = base.sparkSession.sparkContext.broadcast(fit(x.astype(float), rows["y"].to_numpy(float)))
     scored = pooled.mapInArrow(_scorer(model), "doc_id long, score double")

@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors through an inverted index."""
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors through a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -7,30 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_ASCII, chunks, hash_spans, prefix_hash, text_bytes, word_spans
-from .labelled import held_out, training_sample
+from .arrays import LOWER_ASCII, chunks, text_bytes, word_codes
+from .labelled import held_out, one_text_each, training_sample
 from .quality import _LETTERS
 from .scratch import written
 
-#: Labelled examples in the index, about.
-EXAMPLES = 12_000
+#: Labelled examples in the index, about: half of each label if there are so many.
+EXAMPLES = 6_000
 #: A word of the examples weighs 1 + BOOST * its correlation with the label, if that is significant at one in a million
 #: (many words are tested), else 1. No word is left out.
-CHI_SQUARED, BOOST = 23.93, 10.0
+CHI_SQUARED, BOOST = 23.93, 15.0
 NEIGHBOURS = 25
+#: Examples whose greatest weights a block of postings knows.
+BLOCK = 16
 #: Weight of the share of label 1 among all examples in a vote.
 PRIOR = 2.0
+#: In calibration a label weighs by a mean of its share among all labelled rows (0) and one half (1).
+EVEN = 0.5
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text numbers, hashes and counts of the distinct terms (runs of letters, A-Z lower-cased) of all texts, by text."""
-    low = LOWER_ASCII[data]
-    starts, ends, doc = word_spans(low, offsets, _LETTERS)
-    terms, which = np.unique(hash_spans(prefix_hash(low), starts, ends), return_inverse=True)
+    codes, bounds = word_codes(LOWER_ASCII[data], offsets, _LETTERS)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    terms, which = np.unique(codes, return_inverse=True)
     pairs, counts = np.unique(doc * max(len(terms), 1) + which, return_counts=True)
     owner, term = np.divmod(pairs, max(len(terms), 1))
     return owner, terms[term] if len(terms) else np.zeros(0, np.uint64), counts
@@ -49,76 +52,92 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _vectoriser(vocabulary):
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = vocabulary.value, TaskContext.get().partitionId() << 40
+        known = vocabulary.value
         for batch in chunks(batches, limit=1 << 20):
             owner, words, counts = term_counts(*text_bytes(batch.column("text")))
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-            n, new = batch.num_rows, ~hit
-            lists = [_lists(owner[hit], n, at[hit], pa.int32()), _lists(owner[hit], n, counts[hit], pa.int32()), _lists(owner[new], n, words[new].view(np.int64), pa.int64()), _lists(owner[new], n, counts[new], pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column("doc_id"), *lists], names=["row", "doc_id", "terms", "counts", "others", "other_counts"])
-            row += n
+            n = batch.num_rows
+            some = np.bincount(owner, minlength=n) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(owner[hit], n, at[hit], pa.int32()), _lists(owner[hit], n, counts[hit], pa.int32()), pa.array(some)], names=["doc_id", "terms", "counts", "words"])
 
     return vectorise
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term. (The name is from when it held block maxima; see nearest().)"""
-
-    def __init__(self, ids: np.ndarray, y: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        order = sorted(range(len(ids)), key=lambda i: (int(y[i]), int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, int(ids[i])))
-        self.ids, self.y = ids[order], y[order].astype(float)
-        rows = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        cols = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weights = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by = np.lexsort((rows, cols))
-        self.docs, self.weights, cols = rows[by].astype(np.int32), weights[by].astype(np.float32), cols[by]
-        self.bounds = np.searchsorted(cols, np.arange(terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the greatest cosine over 0 (ties: the lower place), and the cosines; `skip`: an id left out.
-
-        All postings of the terms are added up: bounds of blocks took more time than they saved on whole texts."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        spans = [slice(a, b) for a, b in zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist(), strict=True)]
-        docs = np.concatenate([self.docs[s] for s in spans])
-        parts = np.concatenate([self.weights[s] for s in spans]) * np.repeat(weights, self.bounds[terms + 1] - self.bounds[terms])
-        scores = np.bincount(docs, parts, minlength=len(self.ids))
-        if skip is not None:
-            scores[self.ids == skip] = 0.0
+    """Postings of unit vectors by term, in blocks of examples. A block of a term's postings knows its greatest weight,
+    so the sum over a query's terms bounds the cosine of every example of the block, before a posting is read.
+
+    Examples are placed by their most common term and their number of terms: like languages and lengths stand together."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: np.ndarray, block: int = BLOCK):
+        n = len(ids)
+        size = np.bincount(owner, minlength=n)
+        lead = np.full(n, -1, np.int64)  # the most common term of each example
+        by = np.lexsort((terms, common[terms], owner))
+        filled = np.flatnonzero(size)
+        lead[filled] = terms[by][np.cumsum(size)[filled] - 1]
+        order = np.lexsort((ids, size, lead))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.y, self.block, self.blocks = ids[order], y[order].astype(float), block, -(-n // block)
+        rows = place[owner]
+        by = np.lexsort((rows, terms))
+        rows, terms = rows[by], terms[by]
+        self.docs, self.weights = rows.astype(np.int32), weights[by].astype(np.float32)
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (terms[1:] != terms[:-1]) | (rows[1:] // block != rows[:-1] // block)
+        first = np.flatnonzero(fresh)
+        self.start = np.append(first, len(rows))
+        self.of_block = (rows[first] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else self.weights[:0]
+        self.bounds = np.searchsorted(terms[first], np.arange(len(common) + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """The k examples of the greatest cosine over 0 (ties: the lower place), the cosines, and which share of the
+        terms' postings was read. `skip`: an id left out.
+
+        Blocks are read from the greatest bound down; those whose bound is less than the k-th cosine found are not."""
+        lo, hi = self.bounds[terms], self.bounds[terms + 1]
+        entries = _ranges(lo, hi)
+        if not len(entries):
+            return np.zeros(0, np.int64), np.zeros(0), 0.0
+        factor, block = np.repeat(weights, hi - lo), self.of_block[entries]
+        bound = np.bincount(block, self.most[entries] * factor, minlength=self.blocks) + 1e-6  # weights are rounded
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.searchsorted(-bound[order], -2e-6)]
+        scores, cut, at, step, read = np.zeros(len(self.ids)), 0.0, 0, max(8, 2 * k // self.block), 0
+        own = np.flatnonzero(self.ids == skip) if skip is not None else np.zeros(0, np.int64)
+        while at < len(order) and bound[order[at]] >= cut:
+            now = order[at : at + step]
+            now = now[bound[now] >= cut]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            e = np.flatnonzero(chosen[block])
+            a, b = self.start[entries[e]], self.start[entries[e] + 1]
+            p = _ranges(a, b)
+            scores += np.bincount(self.docs[p], self.weights[p] * np.repeat(factor[e], b - a), minlength=len(scores))
+            scores[own] = 0.0
+            read += len(p)
+            at, step = at + len(now), 2 * step
+            if len(scores) > k:
+                cut = np.partition(scores, -k)[-k]
         found = np.flatnonzero(scores > 1e-9)
         if len(found) > k:
-            cut = np.partition(scores[found], -k)[-k]
-            found = found[scores[found] >= cut]
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
         found = found[np.lexsort((found, -scores[found]))][:k]
-        return found, scores[found]
+        return found, scores[found], read / max(1, int((self.start[hi] - self.start[lo]).sum()))
 
 
-class Votes:
-    """The index with its weights, and what turns the labels and cosines of neighbours into a calibrated score."""
-
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray):
-        self.weights = weights
-        ids, y = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
-        vectors = [self.unit(e[2], e[3])[:2] for e in examples]
-        self.index = BlockMaxIndex(ids, y, vectors, len(weights))
-        bare = np.array([len(v[0]) == 0 for v in vectors], bool)
-        self.scale = Scale(y, bare)
-        near = [(self.index.nearest(*v, NEIGHBOURS, int(i)), t) for i, t, v in zip(ids, y, vectors, strict=True) if len(v[0])]
-        told = [(self.scale.vote(self.index.y[found], cosine), t) for (found, cosine), t in near]
-        if len({t for _, t in told}) == 2:
-            self.scale._calibrate(np.array([self.scale._logit(s) for s, _ in told]), np.array([t for _, t in told], float))
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The unit vector of these terms, and the square of its length before."""
-        weights = (1 + np.log(np.maximum(counts, 1))) * self.weights[terms]
-        square = float(weights @ weights)
-        return terms, weights / math.sqrt(square) if square else weights, square
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers from each lo up to its hi."""
+    many = hi - lo
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - many), many)
 
 
 class Scale:
-    """Scores of votes. It holds a few numbers only."""
+    """Turns the labels and cosines of neighbours into a calibrated score. It holds a few numbers only."""
 
     def __init__(self, y: np.ndarray, bare: np.ndarray):
         self.prior = float((y.sum() + 1.0) / (len(y) + 2.0))
@@ -129,14 +148,19 @@ class Scale:
     def _logit(p: float) -> float:
         return math.log(p / (1 - p))
 
-    def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of the labels on the examples' own votes, each without itself."""
-        a, b = 1.0, 0.0
+    def calibrate(self, votes: np.ndarray, y: np.ndarray, share: float) -> None:
+        """Logistic regression of the labels on the examples' own votes, each without itself. `share`: of label 1 among
+        all labelled rows; the sample has another."""
+        if len(set(y.tolist())) < 2:
+            return
+        x, y, a, b = np.log(votes / (1 - votes)), y.astype(float), 1.0, 0.0
+        target = share + EVEN * (0.5 - share)
+        each = np.where(y > 0, target / y.mean(), (1 - target) / (1 - y.mean()))
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p) + 1e-6
+            w = each * p * (1 - p) + 1e-6
             h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-            step = np.linalg.solve(h, np.array([((p - y) * x).sum(), (p - y).sum()]))
+            step = np.linalg.solve(h, np.array([(each * (p - y) * x).sum(), (each * (p - y)).sum()]))
             a, b = a - step[0], b - step[1]
             if abs(step).max() < 1e-8:
                 break
@@ -155,95 +179,115 @@ class Scale:
         return 1 / (1 + math.exp(-(self.slope * self._logit(self.vote(labels, cosine)) + self.shift)))
 
 
+def unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of unit length of these terms."""
+    out = (1 + np.log(np.maximum(counts, 1))) * weights[terms]
+    length = math.sqrt(float(out @ out))
+    return out / length if length else out
+
+
+def association(known: int, y: np.ndarray, owner: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The size of each known term's correlation with the label over the examples; 0 where it isn't significant."""
+    n, ones = len(y), float(y.sum())
+    df = np.bincount(terms, minlength=known).astype(float)
+    both = np.bincount(terms, y[owner].astype(float), minlength=known)
+    spread = df * (n - df) * ones * (n - ones)
+    square = np.where(spread > 0, (n * both - ones * df) ** 2 / np.maximum(spread, 1), 0.0)
+    return np.sqrt(np.where(n * square >= CHI_SQUARED, square, 0.0))
+
+
 EVIDENCE = "array<struct<doc_id:long,label:int,cosine:double>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
 
-def _finder(votes):
-    """The nearest examples of each row, with cosines that count only words of examples."""
+def _neighbours(batch: pa.RecordBatch, index: BlockMaxIndex, weights: np.ndarray) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+    terms, counts = batch.column("terms"), batch.column("counts")
+    bounds = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+    flat_t, flat_c = terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()
+    for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+        found, cosine, _ = index.nearest(flat_t[a:b], unit(flat_t[a:b], flat_c[a:b], weights), NEIGHBOURS, i)
+        yield i, found, cosine
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = votes.value
-        for batch in batches:
-            terms, counts = batch.column("terms"), batch.column("counts")
-            bounds = terms.offsets.to_numpy()
-            flat_t, flat_c = terms.values.to_numpy().astype(np.int64), counts.values.to_numpy()
-            squares, near = [], []
-            for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                *vector, square = model.unit(flat_t[a:b], flat_c[a:b])
-                squares.append(square)
-                near.append(model.index.nearest(*vector, NEIGHBOURS, i))
-            owner = np.repeat(np.arange(len(near)), [len(f) for f, _ in near])
-            found, cosine = (np.concatenate([x[k] for x in near]) for k in (0, 1))
-            lists = [_lists(owner, len(near), v, t) for v, t in ((model.index.ids[found], pa.int64()), (model.index.y[found].astype(np.int32), pa.int32()), (cosine, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(squares, pa.float64()), *lists], names=["row", "doc_id", "square", "ids", "labels", "cosines"])
 
-    return find
+def _own_votes(model):
+    """The vote on each example, without itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, weights, scale = model.value
+        for batch in batches:
+            votes = [scale.vote(index.y[found], cosine) if len(found) else None for _, found, cosine in _neighbours(batch, index, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(votes, pa.float64())], names=["y", "vote"])
 
+    return run
 
-def _scorer(scale: Scale):
-    """Scores and evidence; `rest` is the square that words of no example add to a row's vector."""
 
+def _scorer(model, scale: Scale):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, weights, _ = model.value
         for batch in batches:
             scores, evidence = [], []
-            for square, rest, ids, labels, cosines in zip(*(batch.column(c).to_pylist() for c in ("square", "rest", "ids", "labels", "cosines")), strict=True):
-                cosine = np.array(cosines) * math.sqrt(square / (square + rest)) if ids else np.zeros(0)
-                scores.append(scale.score(np.array(labels, float), cosine, square + rest > 0))
-                evidence.append([{"doc_id": i, "label": y, "cosine": float(c)} for i, y, c in zip(ids[:3], labels[:3], cosine[:3], strict=True)])
+            for (_, found, cosine), words in zip(_neighbours(batch, index, weights), batch.column("words").to_pylist(), strict=True):
+                scores.append(scale.score(index.y[found], cosine, words))
+                evidence.append([{"doc_id": int(index.ids[x]), "label": int(index.y[x]), "cosine": float(c)} for x, c in zip(found[:3], cosine[:3], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], names=["doc_id", "score", "evidence"])
 
     return score
 
 
-def association(known: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The size of each known term's correlation with the label over the examples; 0 where it isn't significant."""
-    n, y = len(rows), np.array([r[1] for r in rows], float)
-    each = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-    df = np.bincount(each, minlength=len(known)).astype(float)
-    both = np.bincount(each, np.repeat(y, [len(r[2]) for r in rows]), minlength=len(known))
-    spread = df * (n - df) * y.sum() * (n - y.sum())
-    square = np.where(spread > 0, (n * both - y.sum() * df) ** 2 / np.maximum(spread, 1), 0.0)
-    return np.sqrt(np.where(n * square >= CHI_SQUARED, square, 0.0))
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence): calibrated votes of the nearest labelled examples.
 
-    About `examples` labelled rows, none held out, are indexed with all of their words. A word has the weight
-    (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with n and df over all documents, times 1 + BOOST * its correlation with
-    the label among the examples if that is significant. Cosines are of whole texts: a word of no example counts in a
-    document's length. Evidence is the nearest three examples. An example's own row never votes for itself.
+    About `examples` labelled rows, none held out and half of each label if there are so many, are indexed with all of
+    their words; these are the dimensions. A word has the weight (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with n and
+    df over all documents, times 1 + BOOST * its correlation with the label among the examples if that is significant.
+    Evidence is the nearest three examples. An example's own row never votes for itself.
 
     Defined results: null and empty texts, and texts without words, score the smoothed share of label 1 among examples
     without words; texts that share no word with any example, that of all examples; a null id is held out and scored;
-    repeated ids are scored each; without usable labels the score is 0.5; other columns are ignored; an empty table
-    gives no rows."""
+    repeated ids are scored each, and the least of their texts is learned from; without usable labels the score is 0.5;
+    other columns are ignored; an empty table gives no rows. Of examples at one cosine the one of the lower place in the
+    index is nearer. Long texts count whole."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = training_sample(labels, target, examples)
-    chosen = base.join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # bounded by `examples`
+    sample, share = training_sample(labels, target, examples, by_label=True)
+    chosen = one_text_each(base.join(F.broadcast(sample), "doc_id"))  # bounded by `examples`
     told = written(chosen.mapInArrow(_example_terms, "doc_id long, y int, terms array<long>, counts array<int>"), "examples")
-    table = told.toArrow().combine_chunks()  # bounded by `examples`
-    flat = [table.column(c).combine_chunks() for c in ("terms", "counts")] if table.num_rows else []
-    words, counts = (x.flatten().to_numpy() for x in flat) if flat else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    table = told.orderBy("doc_id").toArrow().combine_chunks()  # bounded by `examples`
+    ids, y = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "y"))
+    words, counts, sizes = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if table.num_rows:
+        lists = table.column("terms").combine_chunks()
+        words, counts, sizes = lists.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy(), lists.value_lengths().to_numpy()
     known, at = np.unique(words.view(np.uint64), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(flat[0].value_lengths().to_numpy())]) if flat else [0]
-    rows = [(i, y, at[a:b], counts[a:b]) for i, y, a, b in zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), bounds[:-1], bounds[1:], strict=True)]
-    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-    schema = "row long, doc_id long, terms array<int>, counts array<int>, others array<long>, other_counts array<int>"
-    vectors = written(base.mapInArrow(_vectoriser(spark.sparkContext.broadcast(known)), schema), "vectors")
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    vocabulary = spark.sparkContext.broadcast(known)
+    schema = "doc_id long, terms array<int>, counts array<int>, words boolean"
+    vectors = written(base.mapInArrow(_vectoriser(vocabulary), schema), "vectors")
     total, df = vectors.count(), np.zeros(len(known))
     seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
     df[seen["term"].to_numpy()] = seen["count"].to_numpy()
-    weights = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * association(known, rows))
-    votes = Votes(rows, weights)
-    near = vectors.select("row", "doc_id", "terms", "counts").mapInArrow(_finder(spark.sparkContext.broadcast(votes)), "row long, doc_id long, square double, ids array<long>, labels array<int>, cosines array<double>")
-    others = vectors.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("w")).select("row", F.col("w.others").alias("term"), F.col("w.other_counts").alias("tf"))
-    idf = F.log((1 + total) / (1 + F.col("count"))) + 1
-    squares = others.join(others.groupBy("term").count(), "term").select("row", F.pow((1 + F.log("tf")) * idf, F.lit(2.0)).alias("part"))
-    rest = squares.groupBy("row").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # in order, so that sums don't depend on the tasks
-    rest = rest.select("row", F.aggregate("parts", F.lit(0.0), lambda x, y: x + y).alias("rest"))
-    both = near.join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    scored = both.mapInArrow(_scorer(votes.scale), f"doc_id long, score double, evidence {EVIDENCE}")
+    weights = (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * association(len(known), y, owner, at))
+    raw = (1 + np.log(np.maximum(counts, 1))) * weights[at]
+    length = np.sqrt(np.bincount(owner, raw * raw, minlength=len(ids)))
+    index = BlockMaxIndex(ids, y, owner, at, raw / length[owner] if len(raw) else raw, df)
+    scale = Scale(y, sizes == 0)
+    model = spark.sparkContext.broadcast((index, weights, scale))
+    own = told.select("y", "doc_id", "terms", "counts").mapInArrow(_known(vocabulary), "doc_id long, y int, terms array<int>, counts array<int>")
+    votes = own.mapInArrow(_own_votes(model), "y int, vote double").filter("vote is not null").toPandas()  # bounded by `examples`
+    votes = votes.sort_values(["y", "vote"])
+    scale.calibrate(votes["vote"].to_numpy(float), votes["y"].to_numpy(), share)
+    scored = vectors.mapInArrow(_scorer(model, scale), f"doc_id long, score double, evidence {EVIDENCE}")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def _known(vocabulary):
+    """Examples with their terms as places in the vocabulary, which has all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            at = np.searchsorted(vocabulary.value, lists.flatten().to_numpy().view(np.uint64))
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), _lists(owner, batch.num_rows, at, pa.int32()), batch.column("counts")], names=["doc_id", "y", "terms", "counts"])
+
+    return run
