@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import quoted, whole_row, without
+
 _LEAST = -(2**63)
 
 
@@ -21,24 +23,28 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Defined results: a null text stays null with 0 lines; a text of fewer than `size` lines, the empty one included, is
     unchanged; a null id counts as the least id; rows alike in id and text count as one document and are treated alike;
-    other columns pass through, and columns named n_lines or n_removed are replaced; an empty table stays empty."""
-    base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("__id")
-    lines = F.split(F.col(text_col), "\n", -1)
-    digest = F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("__copy")
-    windows = F.transform(F.sequence(F.lit(0), F.size("__lines") - size), lambda i: F.array_join(F.slice("__lines", i + 1, F.lit(size)), "\n"))
-    spread = base.select(key, digest, lines.alias("__lines")).filter(F.size("__lines") >= size)
-    spread = spread.select("__id", "__copy", F.posexplode(windows).alias("__pos", "__window")).filter(F.regexp_like("__window", F.lit(r"\S")))
-    spread = spread.select("__id", "__copy", "__pos", F.unhex(F.md5("__window")).alias("__key"))
-    place = F.struct("__id", "__copy", "__pos")
-    first = spread.groupBy("__key").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first <> __last")
-    later = spread.join(first, "__key").filter(place != F.col("__first"))
-    spans = later.groupBy("__id", "__copy").agg(F.collect_set("__pos").alias("__at"))
-    out = base.withColumns({"__id": key, "__copy": digest}).join(spans, ["__id", "__copy"], "left").withColumn("__lines", lines)
-    covered = F.flatten(F.transform("__at", lambda p: F.sequence(p, p + size - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
-    out = out.withColumn("__left", F.when(F.col("__at").isNotNull(), left))
-    text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines"))
-    out = out.withColumns({text_col: text, "n_lines": n_lines, "n_removed": F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0))})
-    return out.select(*base.columns, "n_lines", "n_removed")
+    other columns pass through, whatever their names, but columns named n_lines or n_removed, in any case, are replaced;
+    an empty table stays empty. Long texts count whole."""
+    names = without(docs, "n_lines", "n_removed")
+    text = F.col(quoted(text_col))
+    key = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_LEAST)).alias("id")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("copy")
+    lines = F.split(text, "\n", -1)
+    windows = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.array_join(F.slice("lines", i + 1, F.lit(size)), "\n"))
+    spread = docs.select(key, digest, lines.alias("lines")).filter(F.size("lines") >= size)
+    spread = spread.select("id", "copy", F.posexplode(windows).alias("pos", "window")).filter(F.regexp_like("window", F.lit(r"\S")))
+    spread = spread.select("id", "copy", "pos", F.unhex(F.md5("window")).alias("key"))
+    place = F.struct("id", "copy", "pos")
+    first = spread.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    later = spread.join(first, "key").filter(place != F.col("first"))
+    spans = later.groupBy("id", "copy").agg(F.collect_set("pos").alias("at"))
+    out = docs.select(whole_row(docs.select(*map(quoted, names))), key, digest).join(spans, ["id", "copy"], "left")
+    old = F.col(f"row.{quoted(text_col)}")
+    out = out.select("row", "at", F.split(old, "\n", -1).alias("lines"))
+    covered = F.flatten(F.transform("at", lambda p: F.sequence(p, p + size - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    out = out.withColumn("left", F.when(F.col("at").isNotNull(), left))
+    new = F.when(F.col("at").isNull(), old).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
+    columns = [new.alias(c) if c == text_col else F.col(f"row.{quoted(c)}").alias(c) for c in names]
+    n_lines = F.when(old.isNull(), 0).otherwise(F.size("lines")).alias("n_lines")
+    return out.select(*columns, n_lines, F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).alias("n_removed"))

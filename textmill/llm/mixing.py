@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import quoted, whole_row, without
+
 #: Sources up to this number are sent to every executor; beyond it the rates are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: A mean above this is drawn as a sum of that many smaller Poisson counts: exp(-mean) stays far from zero.
@@ -21,8 +23,9 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
     """Rows (source, n, rate): the mean number of copies of a document of each source.
 
     The target share of a source is its weight over the sum of weights; without weights it is n ** exponent over the
-    sum of these. A source without a weight gets none. The mean size of the mix is `total`, or as many as there are."""
-    counts = docs.groupBy(F.coalesce(source_col, F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+    sum of these. A source without a weight gets none. The mean size of the mix is `total`, or as many as there are.
+    A null source is the source ''; an empty table gives no rows."""
+    counts = docs.groupBy(F.coalesce(F.col(quoted(source_col)), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(exponent)))
     else:
@@ -39,33 +42,35 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: int = 17, id_col: st
 
     The count is the Poisson distribution function of the source's rate, inverted at a uniform number hashed from the
     seed and the id: the same on every run, however the rows are dealt out. Rows of one id get like counts. The order
-    is that of a digest of seed, id and copy, a range-partitioned sort of evenly spread keys, so neither a hot source
-    nor a document of many copies gathers anywhere.
+    is that of a digest of seed, id and copy, a range-partitioned sort of evenly spread keys: no source gathers anywhere.
+    The copies of one document are made one after the other in the task that reads it.
 
     Defined results: a null source is the source '', a null id hashes as 'null'; null and empty texts are kept like
-    others; columns named copy or shuffle_key are replaced, all others pass through; an empty table stays empty."""
-    base = docs.select(*[c for c in docs.columns if c not in ("copy", "shuffle_key")])
+    others; columns named copy or shuffle_key, in any case, are replaced, all others pass through, whatever their names;
+    an empty table stays empty."""
+    names = without(docs, "copy", "shuffle_key")
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    table = rate_table.select(F.col("source").alias("__source"), "rate", pieces.alias("__pieces")).withColumn("__mean", F.col("rate") / F.col("__pieces"))
-    last = F.ceil(F.col("__mean") + 12 * F.sqrt("__mean") + 20).cast("int")
-    least = F.exp(-F.col("__mean"))
+    table = rate_table.select("source", "rate", pieces.alias("pieces")).withColumn("mean", F.col("rate") / F.col("pieces"))
+    last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 20).cast("int")
+    least = F.exp(-F.col("mean"))
 
     def grow(state: Column, k: Column) -> Column:
-        p = state["p"] * F.col("__mean") / k
+        p = state["p"] * F.col("mean") / k
         return F.struct(p.alias("p"), F.concat(state["c"], F.array(F.element_at(state["c"], -1) + p)).alias("c"))
 
     cdf = F.aggregate(F.sequence(F.lit(1), last), F.struct(least.alias("p"), F.array(least).alias("c")), grow)["c"]
-    table = table.select("__source", "__pieces", cdf.alias("__cdf"))
+    table = table.select("source", "pieces", cdf.alias("cdf"))
     if rate_table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    joined = base.withColumn("__source", F.coalesce(source_col, F.lit(""))).join(table, "__source")
+    name = F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null")).alias("name")
+    base = docs.select(whole_row(docs.select(*map(quoted, names))), name, F.coalesce(F.col(quoted(source_col)), F.lit("")).alias("source"))
+    joined = base.join(table, "source")
 
     def draw(i: Column) -> Column:
-        u = _uniform(str(seed), name, i)
-        return F.size(F.filter("__cdf", lambda c: c <= u))
+        u = _uniform(str(seed), F.col("name"), i)
+        return F.size(F.filter("cdf", lambda c: c <= u))
 
-    count = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("__pieces") - 1), draw), F.lit(0), lambda a, x: a + x)
-    copies = joined.withColumn("__n", count).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("copy").cast("string"))))
-    return keyed.select(*base.columns, "copy", "shuffle_key").orderBy("shuffle_key")
+    count = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), draw), F.lit(0), lambda a, x: a + x)
+    copies = joined.select("row", "name", count.alias("n")).filter("n > 0").select("row", "name", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "name", F.col("copy").cast("string"))))
+    return keyed.orderBy("shuffle_key").select("row.*", "copy", "shuffle_key")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session. Only where the cluster names none (as in tests) a local one is made."""
+    """The shared folder of this session. Only a session on one machine that names none (as in tests) gets a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder that the machines of {master or 'this cluster'} share")
         named = tempfile.mkdtemp(prefix="textmill-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -24,6 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct: beside it, an operator's own names can't clash with theirs."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns]).alias(name)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but these, whatever their case."""
+    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
