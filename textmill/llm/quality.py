@@ -117,7 +117,7 @@ def _pooler(vectors):
             out[:, -3] = np.log1p(n)
             out[:, -2] = np.log1p(np.diff(offsets))
             out[:, -1] = np.sqrt((out[:, :DIMENSIONS] ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in out], pa.binary())], names=["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array([r.tobytes() for r in out], pa.binary())], names=["doc_id", "text_md5", "features"])
 
     return pool
 
@@ -175,13 +175,13 @@ def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(model.value, x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(probability(model.value, x), pa.float64())], names=["doc_id", "text_md5", "score"])
 
     return score
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted): the calibrated probability of label 1, for every document.
+    """Rows (doc_id, held_out, score, predicted, text_md5): the calibrated probability of label 1, for every document.
 
     Word vectors are sums of the sparse random index vectors of neighbours, over all documents; a document is pooled to
     the mean and the root mean square of its words' unit vectors, with its length and share of fresh words. About
@@ -192,12 +192,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
     0.5; other columns are ignored; an empty table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     context = base.sparkSession.sparkContext.broadcast(word_vectors(base))
-    pooled = written(base.mapInArrow(_pooler(context), "doc_id long, features binary"), "pooled")
+    pooled = written(base.withColumn("text_md5", F.md5("text")).mapInArrow(_pooler(context), "doc_id long, text_md5 string, features binary"), "pooled")
     sample, _ = training_sample(labels, target, train_rows)
     rows = pooled.join(sample, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("features").alias("features")).toPandas()  # bounded by `train_rows`
     rows["features"] = rows["features"].map(bytes)
     rows = rows.sort_values("doc_id")
     x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * DIMENSIONS + 4))
     model = base.sparkSession.sparkContext.broadcast(fit(x.astype(float), rows["y"].to_numpy(float)))
-    scored = pooled.mapInArrow(_scorer(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = pooled.mapInArrow(_scorer(model), "doc_id long, text_md5 string, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_md5")
