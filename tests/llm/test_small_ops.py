@@ -18,7 +18,7 @@ from textmill.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Clashing names of columns that operators make or use inside.
-EXTRA = ["copy", "rep", "root", "key", "score", "piece", "rank", "label", "spans", "y", "media", "parts", "n", "rate"]
+EXTRA = ["Copy", "rep", "root", "key", "score", "piece", "rank", "label", "spans", "y", "media", "parts", "n", "rate", "__id", "__at", "__cdf", "__n", "__source", "__left", "__lines", "id", "row", "name", "at", "lines", "first", "cdf", "run", "dotted.name"]
 
 
 def documents(spark, texts, ids=None):
@@ -79,26 +79,61 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
-def test_near_duplicates_links_between_large_mixed_buckets(spark, monkeypatch):
+def altered(rng, base, most):
+    words = list(base)
+    for k in rng.choice(len(base), int(rng.integers(0, most)), replace=False):
+        words[k] = f"x{rng.integers(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("small", "block"), [(16, 1500), (2, 20), (1000, 20)])
+def test_near_duplicates_links_across_groups_of_a_bucket(spark, monkeypatch, small, block):
     rng = np.random.default_rng(3)
-    base = [f"w{i}" for i in range(150)]
-    texts = []
-    for _ in range(90):
-        w = list(base)
-        for k in rng.choice(150, int(rng.integers(0, 4)), replace=False):
-            w[k] = f"x{rng.integers(10**9)}"
-        texts.append(" ".join(w))
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
+    texts = [altered(rng, [f"w{i}" for i in range(150)], 4) for _ in range(90)]
+    monkeypatch.setattr(neardup, "SMALL_GROUP", small)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     assert [got[i] for i in range(90)] == groups([shingles(t) for t in texts])
 
 
+def test_rarest_shingles_of_like_sets_meet():
+    rng = np.random.default_rng(4)
+    seen = rng.integers(0, 50, 1 << neardup.SLOT_BITS)
+    for percent in (80, 85, 100):
+        for _ in range(300):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 4)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                x, y = (neardup.prefix(s, seen, percent) for s in (a, b))
+                assert len(np.intersect1d(x, y)) and len(x) == len(a) - -(-percent * len(a) // 100) + 1
+
+
+def test_near_duplicates_in_a_bucket_of_twenty_thousand(spark):
+    """A passage makes up two thirds of each text: buckets hold nearly all of them, but hardly any are alike enough."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(13)), lambda k: F.concat(F.lit("u"), F.floor(F.col("id") / 2), F.lit("v"), k)), " "), F.when(F.col("id") % 2 == 1, F.lit(" end")).otherwise(F.lit(""))).alias("text"))
+    got = neardup.near_duplicates(docs.repartition(8))
+    wrong = got.filter(F.col("component_id") != F.floor(F.col("doc_id") / 2) * 2).count()
+    assert wrong == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "z", None], [5, 5, None, 7])
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()) == [(5, 5), (5, 5), (7, 7)]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     kept = neardup.drop_near_duplicates(docs)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "7", "None"] and kept.columns == docs.columns
+    twice = documents(spark, ["a b c d e f", "g h i j k l m", "g h i j k l m", "g h i j k l m"], [5, 5, 9, 5])
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(twice).collect()) == [(5, "a b c d e f"), (5, "g h i j k l m")]
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(10**5, size=250_000)]
+    texts = [" ".join(words), " ".join(words[:-300]), " ".join(words[: len(words) // 2]), "same " * 300_000]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i][0] for i in range(4)] == [0, 0, 2, 3] and got[3][1] == 1 and len(texts[0]) > 10**6
 
 
 def test_super_minhash():
@@ -261,7 +296,8 @@ def test_mixing_weights_and_odd_rows(spark):
     assert mixing.replicate(docs.limit(0), mixing.rates(docs.limit(0))).count() == 0
     many = mixing.replicate(docs, mixing.rates(docs, weights={"s": 1.0}, total=300))
     n = {r.text: r["count"] for r in many.groupBy("text").count().collect()}
-    assert n["a"] == n[""] and set(n) == {"a", "", None} and set(many.columns) == {*docs.columns, "shuffle_key"}
+    assert n["a"] == n[""] and set(n) == {"a", "", None} and many.columns == [*[c for c in docs.columns if c != "Copy"], "copy", "shuffle_key"]
+    assert {x for r in many.drop("copy", "shuffle_key").collect() for c, x in r.asDict().items() if c in EXTRA} == {"x"}
 
 
 # -- packing ------------------------------------------------------------------------------------------------------

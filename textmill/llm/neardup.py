@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrays import GOLDEN, chunks, mix64, shingle_hashes, text_bytes
 from .components import connected
-from .scratch import discard, written
+from .scratch import discard, quoted, whole_row, written
 
 SIGNATURE = 64
 ROWS_PER_BAND = 4
@@ -60,7 +60,7 @@ def super_minhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
     return low
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix64(band ^ rows[:, :, k])
         filled = np.array([len(s) > 0 for s in sets])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * band.shape[1])]).astype(np.int32)), pa.array(band[filled].view(np.int64).reshape(-1)))
-        short = (mix64(signature.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array([len(s) for s in sets], pa.int64()), lists, pa.array([r.tobytes() for r in short], pa.binary())], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array([len(s) for s in sets], pa.int64()), lists], schema=_SIGNED)
 
 
 def _verifier(percent: int):
@@ -99,10 +98,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
 
 
-#: Buckets of up to this many members give pairs; larger ones are compared inside tasks, in blocks.
-SMALL_BUCKET = 16
+#: Groups of up to this many members give pairs; larger ones are compared inside tasks, in blocks. Both compare full sets.
+SMALL_GROUP = 16
 #: A block holds about so many members, and so many shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
+#: Shingles are counted in 2**SLOT_BITS places by their hash, to put rare ones first.
+SLOT_BITS = 18
 
 
 def spanning_links(sets: list[np.ndarray], groups: np.ndarray, percent: int, columns: int = 2048) -> list[tuple[int, int]]:
@@ -149,55 +150,82 @@ def _block_linker(percent: int):
     return link
 
 
-def _similar(agree: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s", "t"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each place, over all texts of a task."""
+    seen = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in chunks(batches, limit=2 << 20):
+        for s in shingle_hashes(*text_bytes(batch.column("text"))):
+            seen += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(seen))
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used])], names=["slot", "n"])
+
+
+def prefix(shingles: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n - ceil(percent * n / 100) + 1 of n shingles, in one order for all sets.
+
+    Of two sets that are alike enough, fewer than that many elements of either are not in the other one. So the least
+    common element stands in both prefixes, whatever the order is; a good one only makes them meet others rarely."""
+    keep = len(shingles) + -percent * len(shingles) // 100 + 1
+    return shingles[np.lexsort((shingles, seen[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:keep]] if len(shingles) else shingles
+
+
+def _prefixes(seen, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=2 << 20):
+            sets = [prefix(s, seen.value, percent) for s in shingle_hashes(*text_bytes(batch.column("text")))]
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            shingles = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), *[batch.column(c).take(take) for c in ("rep", "root", "n_shingles")]], names=["key", "rep", "root", "n_shingles"])
 
-    return keep
+    return run
 
 
-def _crossing(bands: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, done: DataFrame, percent: int, agree: int) -> DataFrame:
-    """Confirmed links between members of one bucket that the first links left in different groups.
+def _crossing(bands: DataFrame, roots: DataFrame, texts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between texts that share a bucket but that the first links left in different groups.
 
-    Buckets of one group are done. Small mixed ones give their pairs, which are checked by signature and then on full
-    sets. Large mixed ones are dealt out in blocks; a task compares two blocks with all of their texts and gives only
-    the links that join groups, so neither pairs nor a whole hot bucket ever stand in one place."""
+    Members of buckets with more than one group are joined exactly, by the rarest shingles of each: texts alike enough
+    share one. What many texts share is never among the rarest of most, so a bucket's size doesn't matter. Pairs are only
+    made across groups, and the few large sets of texts with a rare shingle in common are compared inside tasks."""
     placed = bands.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    rows = written(placed.join(mixed.select("key", "n", "total"), "key"), "mixed")
-    small = rows.filter(F.col("n") <= SMALL_BUCKET).select("key", "rep", "root")
-    other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    marks = signed.select("rep", "signature")
-    pairs = pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("s")), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("t")), "b")
-    links = _confirmed(written(pairs.mapInArrow(_similar(agree), "a long, b long"), "similar"), texts, percent)
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    chosen = placed.join(mixed, "key", "left_semi").select("rep", "root", "n_shingles").distinct()
+    members = written(chosen.join(texts, "rep").select("rep", "root", "n_shingles", "text"), "members")
+    found = members.select("text").mapInArrow(_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(1 << SLOT_BITS, np.int64)
+    seen[found["slot"].to_numpy()] = found["n"].to_numpy()
+    rare = members.mapInArrow(_prefixes(members.sparkSession.sparkContext.broadcast(seen), percent), "key long, rep long, root long, n_shingles long")
+    rare = written(rare, "rare")
+    groups = rare.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    rows = written(rare.join(groups.select("key", "n", "total"), "key"), "groups")
+    small = rows.filter(F.col("n") <= SMALL_GROUP)
+    other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("size_b"))
+    like = (100 * F.least("n_shingles", "size_b") >= percent * F.greatest("n_shingles", "size_b")) & (F.col("root") != F.col("root_b"))
+    pairs = small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b").filter(like).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    links = _confirmed(written(pairs, "crossing"), members.select("rep", "text"), percent)
     k = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    large = rows.filter(F.col("n") > SMALL_BUCKET).withColumn("k", k).withColumn("own", F.pmod(F.hash("rep"), F.col("k")))
+    large = rows.filter(F.col("n") > SMALL_GROUP).withColumn("k", k).withColumn("own", F.pmod(F.hash("rep"), F.col("k")))
     if large.isEmpty():
         return links
     cells = large.select("key", "rep", "root", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root").join(texts, "rep")
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root").join(members.select("rep", "text"), "rep")
     return links.union(cells.groupBy("key", "i", "j").applyInPandas(_block_linker(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, agree: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): groups of documents linked by 5-word shingle sets.
 
     Two documents are linked if 100 * intersection >= percent * union of their full sets; a group is what links reach.
     SuperMinHash signatures of 64 values in 16 bands of 4 find candidates (a pair at 0.85 is missed with probability
     7e-6, at 0.8 with 2e-4). Equal texts are one class before anything is compared. In each bucket every member is
     checked against two leaders of the bucket; then what shares a bucket but still lies in different groups is compared
-    too, in large buckets all texts in blocks, in small ones the pairs that `agree` in so many of 64 places (a pair at
-    0.85 has fewer with probability 1e-5). Copies are never expanded into pairs.
+    too, all of it, by an exact join on the rarest shingles. Copies are never expanded into pairs.
 
     Defined results: a null or wordless text has an empty set, is linked with nothing and is its own group; rows with a
     null id are left out; repeated ids share one group; other columns, whatever their names, are ignored; an empty
     table gives no rows. Long texts count whole."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    rows = written(base.withColumn("copy", F.md5("text")).mapInArrow(_sign, "doc_id long, copy string, n_shingles long, bands array<long>, signature binary"), "rows")
-    classes = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    rows = written(base.withColumn("copy", F.md5("text")).mapInArrow(_sign, "doc_id long, copy string, n_shingles long, bands array<long>"), "rows")
+    classes = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     signed = written(classes, "signed")
     texts = base.select(F.col("doc_id").alias("rep"), "text")
     bands = signed.select("rep", "n_shingles", F.explode("bands").alias("key"))
@@ -206,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(near.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "pairs")
     links = written(_confirmed(pairs, texts, percent), "confirmed")
     roots = written(connected(links), "roots")
-    late = written(_crossing(bands, roots, signed, texts, pairs, percent, agree), "late")
+    late = written(_crossing(bands, roots, texts, pairs, percent), "late")
     if not late.isEmpty():
         roots = written(connected(links.union(late)), "roots")
     discard(pairs)
@@ -217,13 +245,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, agree: int = 42) -> DataFrame:
-    """docs without the documents whose group keeps another one; rows that repeat an id keep the least of their texts.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """docs without the documents whose group keeps another one. `percent` is that of near_duplicates().
 
-    Rows with a null id are in no group and stay as they are. `percent` and `agree` are those of near_duplicates()."""
-    keeps = near_duplicates(docs, id_col, text_col, percent, agree).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    stay = docs.join(keeps, id_col, "left_semi")
-    repeated = stay.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1")
-    if not repeated.isEmpty():
-        stay = stay.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")).select("__row.*")
-    return stay.union(docs.filter(F.col(id_col).isNull()))
+    Of rows alike in id and text one stays; rows of one id with different texts stay all, if their id does. Rows with a
+    null id are in no group and stay as they are."""
+    key = F.col(quoted(id_col))
+    keeps = near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    stay = docs.join(keeps, key.cast("long") == F.col("kept_id"), "left_semi")
+    digest = F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    if not stay.groupBy(key, digest).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        stay = stay.select(whole_row(stay), key.alias("id"), digest.alias("copy")).groupBy("id", "copy").agg(F.first("row").alias("row")).select("row.*")
+    return stay.union(docs.filter(key.isNull()))
