@@ -312,3 +312,70 @@ def test_pipeline_near_dedup_takes_links_from_80_percent(spark):
     docs, _ = tables(spark, rows)
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == want
     assert len(want) == 26
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty texts, repeated rows, a long text, extra columns; and an empty table."""
+    rows = labelled_corpus(120)
+    long = "\n".join(f"row {k} of a long text with words {k * 7919 % 1000}" for k in range(40_000))
+    odd = [(None, "a text without an id", "s0", 1, 0), (None, None, None, 1, 0), (3000, None, "s1", 1, 0), (3001, "", "s1", 1, 0), (3002, long, "s1", 1, 0), (3003, "one\ntwo\nthree", "s1", 1, 0), (3003, "one\ntwo\nthree", "s1", 1, 0), (3003, "other text of this id", None, 1, 0)]
+    docs, _ = tables(spark, rows + odd)
+    _, labels = tables(spark, rows)
+    docs = docs.withColumns({c: F.lit("x") for c in EXTRA})
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert len(long) > 10**6
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and out.dtypes == docs.select(*corpus_pipeline.COLUMNS).dtypes, name
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "quality classifier":
+            scored = {(r.doc_id, r.text_md5): r.predicted for r in quality.quality_scores(docs, labels).collect()}
+            import hashlib
+
+            assert sorted(map(str, got)) == sorted(str((r[0], r[1])) for r in rows + odd if scored[r[0], hashlib.md5((r[1] or "").encode()).hexdigest()] == 1)
+        elif name == "line dedup":
+            assert len(got) == before and dict(got)[3002] == long and got.count((3000, None)) == 1 and got.count((3001, "")) == 1
+        elif name == "MinHash near-dedup":
+            assert got.count((3003, "one\ntwo\nthree")) == 1 and (3003, "other text of this id") in got and sum(i is None for i, _ in got) == 2 and (3000, None) in got
+        else:
+            assert set(got) <= {(r[0], r[1]) for r in rows + odd}
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    assert packed.filter("doc_id is null").count() == 2 and packed.filter("doc_id = 3003").count() == 3
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def quality_by_hand(docs, labels):
+    """Scores of (id, text) rows from word vectors summed word by word; the network is fitted by the operator's fit()."""
+    index = quality.index_vectors()
+    words = []
+    for _, t in docs:
+        slots, _ = quality.word_slots(*text_bytes(pa.array([t or ""])))
+        words.append(slots.tolist())
+    table, seen = np.zeros((1 << quality.WORD_BITS, quality.DIMENSIONS)), np.zeros(1 << quality.WORD_BITS)
+    for w in words:
+        for i, slot in enumerate(w):
+            seen[slot] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(w), i + quality.WINDOW + 1)):
+                if j != i:
+                    table[slot] += index[w[j]]
+    table -= np.outer(seen, table.sum(axis=0) / seen.sum())
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
+    x = []
+    for (_, t), w in zip(docs, words, strict=True):
+        v = table[w] if w else np.zeros((0, quality.DIMENSIONS))
+        mean = v.mean(axis=0) if w else np.zeros(quality.DIMENSIONS)
+        square = np.sqrt((v * v).mean(axis=0)) if w else np.zeros(quality.DIMENSIONS)
+        x.append([*mean, *square, len(set(w)) / len(w) if w else 0.0, np.log1p(len(w)), np.log1p(len((t or "").encode())), np.linalg.norm(mean)])
+    x = np.array(x)
+    learn = sorted(i for i, (d, _) in enumerate(docs) if d in labels and not held(d))
+    return quality.probability(quality.fit(x[learn], np.array([labels[docs[i][0]] for i in learn], float)), x)
+
+
+def test_quality_scores_against_vectors_by_hand(spark):
+    rows = [*labelled_corpus(150), (900, None, "s", 1, 0), (901, "", "s", 1, 0), (902, "word " * 200_000, "s", 1, 0)]
+    docs, labels = tables(spark, rows)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels.filter("doc_id < 900")).collect()}
+    want = quality_by_hand([(r[0], r[1]) for r in rows], {r[0]: r[3] for r in rows if r[0] < 900})
+    assert np.allclose([got[r[0]] for r in rows], want, atol=0.02) and np.corrcoef([got[r[0]] for r in rows], want)[0, 1] > 0.999
