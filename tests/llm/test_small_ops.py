@@ -498,17 +498,58 @@ def test_text_round_trip(spark):
 # -- language -----------------------------------------------------------------------------------------------------
 
 
+def gram_sets(texts):
+    folded = ["".join(c if c.islower() and c.isascii() or ord(c) > 127 else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), t)).encode() for t in texts]
+    return [{w[i : i + n] for n in language.SPECTRUM for i in range(len(w) - n + 1)} for w in folded]
+
+
 def test_kernel_weights_equal_the_kernel():
     texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "the end", "und das ende"] * 3
-    rows = language.presence(*text_bytes(pa.array(texts)))
-    packed = np.packbits(rows > 0, axis=1)
-    names, weights = language.fit(packed, ["en", "de", "fr", "en", "de"] * 3)
-    direct = language.kernel(packed, packed)
-    grams = [{w[i : i + n] for w in [re.sub("[^a-z]", " ", t).encode()] for n in language.SPECTRUM for i in range(len(w) - n + 1)} for t in texts]
+    found = language.presence(*text_bytes(pa.array(texts)))
+    marks = language.Landmarks(found)
+    direct = np.array([marks.kernel(f) for f in found])
+    grams = gram_sets(texts)
     want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in grams] for a in grams]
-    assert np.abs(direct - np.array(want)).max() < 0.02  # up to clashes of hashes
-    unit = rows / np.sqrt(rows.sum(axis=1, keepdims=True))
-    assert [names[i] for i in (unit @ weights).argmax(axis=1)] == ["en", "de", "fr", "en", "de"] * 3
+    assert np.abs(direct - np.array(want)).max() < 0.002  # up to clashes of hashes
+    names, coefficients = language.fit(direct, direct, ["en", "de", "fr", "en", "de"] * 3)
+    margin = language.margins(found, marks.row, marks.folded(coefficients))
+    assert np.allclose(margin, direct @ coefficients, atol=1e-4)
+    assert [names[i] for i in margin.argmax(axis=1)] == ["en", "de", "fr", "en", "de"] * 3
+
+
+def test_predictions_against_a_direct_solve(spark):
+    """Kernel ridge regression with all training texts as landmarks, solved in the dual."""
+    rng = np.random.default_rng(7)
+    parts = {"en": ["the", "and", "ing", "tion", "es"], "de": ["sch", "und", "ung", "ß", "es"], "fr": ["eau", "é", "que", "ç", "es"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[k], 2)) for _ in range(int(rng.integers(1, 12)))), k) for i, k in enumerate(rng.choice(list(parts), 240, p=[0.6, 0.3, 0.1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.languages(docs).collect()}
+    grams = gram_sets([r[1] for r in rows])
+    learn = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2]
+    k = np.array([[len(grams[i] & grams[j]) / (len(grams[i]) * len(grams[j])) ** 0.5 for j in learn] for i in range(240)])
+    names = sorted(parts)
+    y = np.array([[1.0 if rows[i][2] == n else -1.0 for n in names] for i in learn])
+    many = collections.Counter(rows[i][2] for i in learn)
+    weight = np.array([len(learn) / 3 / many[rows[i][2]] for i in learn])
+    alpha = np.linalg.solve(k[learn] + language.RIDGE * len(learn) * np.diag(1 / weight), y)
+    margin = k @ alpha
+    sure = np.sort(margin, axis=1)[:, -1] - np.sort(margin, axis=1)[:, -2] > 0.01
+    assert sure.mean() > 0.95 and all(got[i] == names[margin[i].argmax()] for i in np.flatnonzero(sure))
+
+
+def test_more_languages_than_a_thousand(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 5, f"l{i:04d}") for i in range(1600)]
+    usable = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language._sampled(usable, 4000).select("lang").distinct().count() == 1600
+
+
+def test_languages_of_very_long_texts(spark):
+    rng = np.random.default_rng(8)
+    parts = {"en": ["the", "and", "ing", "tion"], "de": ["sch", "und", "ung", "ß"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[k], 3)) for _ in range(40)), k) for i, k in enumerate(["en", "de"] * 60)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(parts[k], 3)) for _ in range(200_000)), None) for i, k in enumerate(["en", "de"])]
+    got = {r.doc_id: r.lang_pred for r in language.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] == "en" and got[1001] == "de" and len(rows[-1][1]) > 10**6
 
 
 def test_languages(spark):
