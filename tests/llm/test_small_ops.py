@@ -460,25 +460,61 @@ def zipped():
     return out.getvalue()
 
 
-FILES = {"image/png": png(), "image/gif": GIF, "image/bmp": BMP, "application/gzip": gz(), "image/jpeg": JPEG, "application/pdf": PDF, "application/zip": zipped(), "audio/wav": media.wav(b"\x80" * 7)}
+PDF_AGAIN = PDF + b"\n2 0 obj\nxref\ntrailer\nstartxref\n20\n%%EOF"
+JPEG_FILLED = JPEG.replace(b"\xff\xda", b"\xff\xff\xff\xda")
+FLAC = b"fLaC\x80\0\0\x22" + b"\1" * 34 + b"\xff\xf8" + b"\2" * 20
+OGG = b"".join(struct.pack("<4sBBqIIIB", b"OggS", 0, flags, 0, 7, seq, 0, 2) + b"\x03\x02" + b"abcde" for seq, flags in enumerate((2, 0, 4)))
+MP4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 12, b"moov") + b"abcd" + struct.pack(">IQ", 1, 0)[:4] + b"mdat" + struct.pack(">Q", 20) + b"wxyz"
+TIFF = b"II*\0" + struct.pack("<I", 12) + b"data" + struct.pack("<HHHIIHHIII", 2, 273, 4, 1, 8, 279, 4, 1, 4, 0)
+FILES = {"audio/flac": FLAC, "audio/ogg": OGG, "video/mp4": MP4, "image/tiff": TIFF, "image/png": png(), "image/gif": GIF, "image/bmp": BMP, "application/gzip": gz(), "image/jpeg": JPEG, "application/pdf": PDF, "application/zip": zipped(), "audio/wav": media.wav(b"\x80" * 7)}
 
 
 @pytest.mark.parametrize("kind", FILES)
 def test_whole_and_carved_files(kind):
     data = FILES[kind]
     assert media.sniff(data)[0] == kind
-    whole, parts = media.sniff(b"noise " + data + b" tail BM GIF89a RIFF \xff\xd8\xff")
-    assert whole is None and parts == [(kind, 6, 6 + len(data))]
-    if kind not in ("application/pdf",):
+    tail = b" tail BM GIF89a RIFF \xff\xd8\xff"
+    whole, parts = media.sniff(b"noise " + data + tail)
+    assert whole is None and parts == [(kind, 6, 6 + len(data) + (len(tail) if kind == "audio/flac" else 0))]
+    if kind != "audio/flac":
         assert media.sniff(data[: len(data) * 2 // 3])[0] is None  # magic alone is no proof
 
 
+def test_files_in_files():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:  # stored, not packed
+        z.writestr("inner.zip", zipped())
+        z.writestr("x.png", png())
+    assert media.sniff(out.getvalue()) == ("application/zip", [])
+    assert media.sniff(b"-" + out.getvalue() + zipped())[1] == [("application/zip", 1, 1 + len(out.getvalue())), ("application/zip", 1 + len(out.getvalue()), 1 + len(out.getvalue()) + len(zipped()))]
+    assert media.sniff(b"-" + PDF_AGAIN + b"--" + PDF)[1] == [("application/pdf", 1, 1 + len(PDF_AGAIN)), ("application/pdf", 3 + len(PDF_AGAIN), 3 + len(PDF_AGAIN) + len(PDF))]
+    enclosing = PDF[:20] + PDF + PDF[20:]
+    assert media.sniff(enclosing) == ("application/pdf", [])
+    assert media.sniff(b"-" + JPEG_FILLED)[1] == [("image/jpeg", 1, 1 + len(JPEG_FILLED))]
+    assert media.sniff(PDF + b"--" + GIF) == ("application/pdf", [("image/gif", len(PDF) + 2, len(PDF) + 2 + len(GIF))])
+
+
+@pytest.mark.parametrize("magic", [*dict.fromkeys(m for m, *_ in media.FORMATS), b"%PDF-1", b"PK\x05\x06", b"\x1f\x8b\x08\x08", b"startxref 1 "])
+def test_a_megabyte_of_magic_bytes_takes_no_time(magic):
+    import time
+
+    data = magic * (1_000_000 // len(magic))
+    began = time.process_time()
+    assert media.sniff(data) == (None, [])
+    assert time.process_time() - began < 6  # about a second alone; the machine may be busy
+
+
 def test_media_columns(spark):
     rows = [("image/png", png()), ("image/png", GIF), ("text/plain", b"plain"), ("x/y", b"\0" + png() + GIF), (None, None), ("a/b", b"")]
     got = media.sniff_media(spark.createDataFrame([(t, bytearray(b) if b is not None else None) for t, b in rows], "declared_type string, media binary"))
     out = got.collect()
     assert [(r.media_type, r.corrected) for r in out] == [("image/png", False), ("image/gif", True), ("text/plain", False), ("x/y", False), (None, False), ("a/b", False)]
     assert [(r.part_type, bytes(r.part)) for r in media.carve(got).collect()] == [("image/png", png()), ("image/gif", GIF)]
+    clashing = media.carve(media.sniff_media(got.withColumns({"Part": F.lit("x"), "row": F.lit("y"), "a.b": F.lit("z")})))
+    assert [(r.part_type, r.row, r["a.b"]) for r in clashing.collect()] == [("image/png", "y", "z"), ("image/gif", "y", "z")]
 
 
 def test_text_round_trip(spark):
@@ -490,6 +526,11 @@ def test_text_round_trip(spark):
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256, r.media_type) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest(), "audio/wav")
+    kinds = {r.declared_type: r.corrected for r in media.sniff_media(media.store_texts(docs)).select("declared_type", "corrected").distinct().collect()}
+    assert kinds == {k: k != "audio/wav" for k in media.DECLARED}
+    long = "payload " * 200_000
+    [got] = media.sound_digests(media.sniff_media(media.store_texts(documents(spark, [long])))).collect()
+    assert got.n_bytes == got.payload_bytes == len(long) and got.payload_sha256 == hashlib.sha256(long.encode()).hexdigest()
     odd = documents(spark, [None, "a"], [None, None])
     assert sorted(r.n_bytes for r in media.sound_digests(media.sniff_media(media.store_texts(odd))).collect()) == [0, 1]
     assert media.sound_digests(media.sniff_media(media.store_texts(docs.limit(0)))).count() == 0
