@@ -88,3 +88,28 @@ def test_vectors(spark):
     docs = spark.createDataFrame([("same words here",), ("same words here",), (None,)], "t string")
     got = [r[0] for r in docs.select(vectors.encode(encoder, 2)("t")).collect()]
     assert got[0] == got[1] == encoder.encode(["same words here"])[0] and not any(got[2])
+
+
+def test_fold_equals_the_exact_fold_on_all_code_points(spark):
+    import unicodedata
+
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000)]]
+    rows = ["a" + "b".join(points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    got = spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", text.fold_ascii(F.col("t")).alias("f")).collect()
+    want = [unicodedata.normalize("NFKD", r).encode("ascii", "ignore").decode() for r in rows]
+    assert [r.f for r in sorted(got, key=lambda r: r.id)] == want
+
+
+def test_terms_by_automaton_equal_terms_one_by_one(spark, monkeypatch):
+    terms = ["go", "c++", "r", "java", "script", ".net", "a b", "_x", "naïve"]
+    values = ["Go c++ R java", "cargo c++x r2 javascript", "c++", "ngo .net a.net a b", "_x y_x naïve r", "", None, "r_ r-"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, t string")
+    each = {r.id: r.m for r in frame.select("id", skills.match_bounded(F.col("t"), terms).alias("m")).collect()}
+    monkeypatch.setattr(skills, "LITERALS", 0)
+    assert each == {r.id: r.m for r in frame.select("id", skills.match_bounded(F.col("t"), terms).alias("m")).collect()}
+    import re
+
+    def stands(t, v):
+        return v in t if len(v) > 3 else re.search(rf"\b{re.escape(v)}\b", t, re.A) is not None
+
+    assert each == {i: sorted(v for v in terms if stands((t or "").lower(), v)) for i, t in enumerate(values)}

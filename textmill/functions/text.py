@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,26 +52,48 @@ def remove_personal(text: Column) -> Column:
     return out
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition has just one ASCII character, and that character."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use reads it, in branches too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folds() -> tuple[str, str, str, list[str]]:
+    """Characters outside ASCII whose compatibility decomposition has ASCII characters: those with one, and that one;
+    those with several, and these."""
+    one, target, several, targets = [], [], [], []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(kept) == 1:
-            source.append(chr(code))
+            one.append(chr(code))
             target.append(kept)
-    return "".join(source), "".join(target)
+        elif kept:
+            several.append(chr(code))
+            targets.append(kept)
+    return "".join(one), "".join(target), "".join(several), targets
 
 
-FOLD_FROM, FOLD_TO = _folds()
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL, FOLD_STRINGS = _folds()
 
 
 def fold_ascii(text: Column) -> Column:
-    """Latin letters with marks become plain ones, all else outside ASCII goes; in the JVM.
+    """The ASCII characters of the text's compatibility decomposition (NFKD), in the JVM: marked letters become plain
+    ones, ligatures, fractions, full-width and enclosed characters what they are made of, all else outside ASCII goes.
+
+    Texts in ASCII pass as they are; only texts with a character of several are taken apart."""
+    def several(t: Column) -> Column:
+        strings = F.array(*map(F.lit, FOLD_STRINGS))
+
+        def expand(c: Column) -> Column:
+            at = F.instr(F.lit(FOLD_SEVERAL), c)
+            return F.when((c > "\x7f") & (at > 0), F.get(strings, at - 1)).otherwise(c)
+
+        taken = F.array_join(F.transform(F.split(t, ""), expand), "")
+        return F.when(F.regexp_like(t, F.lit(f"[{FOLD_SEVERAL}]")), taken).otherwise(t)
+
+    def fold(t: Column) -> Column:
+        return F.regexp_replace(F.translate(several(t), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
 
-    Equal to NFKD plus dropping non-ASCII for Latin text; characters that decompose into several (ligatures) go.
-    fold_ascii_exact() decomposes everything, in Python."""
-    return F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7F]")), fold(t)).otherwise(t))
 
 
 def fold_ascii_exact():
