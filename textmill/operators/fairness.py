@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GROUP_CUES, GROUP_NAMES
 from ..functions.text import strip
-from .metrics import global_ranks
+from .metrics import global_ranks, threshold_interpolated
 
 
 def group_proxy(text: Column, cues: dict[str, list[str]] = GROUP_CUES, names: dict[str, list[str]] = GROUP_NAMES, bonus: int = 5, least: int = 2) -> Column:
@@ -44,7 +44,7 @@ def select_rows(scored: DataFrame, threshold: float | None = None) -> DataFrame:
     """scored plus selected: score >= threshold, by default the median of all scores."""
     if threshold is not None:
         return scored.withColumn("selected", F.col("score") >= threshold)
-    limit = scored.agg(F.percentile("score", F.lit(0.5)).alias("__limit"))
+    limit = threshold_interpolated(scored, 0.5).select(F.col("threshold").alias("__limit"))
     return scored.crossJoin(F.broadcast(limit)).withColumn("selected", F.col("score") >= F.col("__limit")).drop("__limit")
 
 
@@ -69,7 +69,9 @@ def adverse_impact(rows: DataFrame, a: str, b: str, group: str = "group", thresh
 
 def score_distribution(rows: DataFrame, digits: int = 4) -> DataFrame:
     """One row (mean, std, median, min, max), std of the population."""
-    return rows.agg(*[F.round(f, digits).alias(n) for n, f in (("mean", F.avg("score")), ("std", F.stddev_pop("score")), ("median", F.percentile("score", F.lit(0.5))), ("min", F.min("score")), ("max", F.max("score")))])
+    rest = rows.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
+    both = rest.crossJoin(F.broadcast(threshold_interpolated(rows, 0.5).withColumnRenamed("threshold", "median")))  # one row each
+    return both.select(*[F.round(c, digits).alias(c) for c in ("mean", "std", "median", "min", "max")])
 
 
 def mann_whitney(rows: DataFrame, a: str, b: str, group: str = "group") -> DataFrame:
@@ -126,10 +128,10 @@ def audit(resumes: DataFrame, scores: DataFrame, threshold: float | None = None,
     if counted["n_a"] and counted["n_b"]:
         air = impact_row.first()
         if not air["passes"]:
-            says.append(f"⚠️ Adverse impact ratio of {a} and {b} is {air['adverse_impact_ratio']:.2f}, below {impact:.2f}: possible bias.")
+            says.append(f"{a} and {b} are selected at rates whose ratio is {air['adverse_impact_ratio']:.2f}; {impact:.2f} is asked for.")
     p = None
     if counted["n_a"] >= 5 and counted["n_b"] >= 5:
         p = round(p_value(*counted), 6)
         if p < 0.05:
-            says.append(f"⚠️ Scores of {a} and {b} differ significantly (p={p:.4f}).")
-    return found | {"p_value": p, "recommendations": says or ["✅ No significant bias detected in this evaluation."]}
+            says.append(f"The scores of {a} and {b} are unlikely to be alike (p={p:.4f}).")
+    return found | {"p_value": p, "recommendations": says or ["No difference between the groups was found."]}

@@ -44,12 +44,12 @@ def per_query(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10), quer
     return rows.groupBy(query).agg(*out)
 
 
-def aggregate(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10), query: str = "query_id") -> DataFrame:
-    """One row: the means over queries (ap as map), num_queries and the pooled roc_auc."""
+def aggregate(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10), query: str = "query_id", pooled: bool = True) -> DataFrame:
+    """One row: the means over queries (ap as map), num_queries and, unless left out, the pooled roc_auc."""
     each = per_query(scored, k_values, query)
     names = [f"{m}_at_{k}" for k in k_values for m in ("p", "r", "ndcg")]
     means = each.agg(F.count("*").alias("num_queries"), *[F.avg(c).alias(c) for c in names], F.avg("mrr").alias("mrr"), F.avg("ap").alias("map"))
-    return means.crossJoin(roc_auc(scored))  # one row each
+    return means.crossJoin(roc_auc(scored)) if pooled else means  # one row each
 
 
 def flat(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -128,8 +128,16 @@ def classification_report(predicted: DataFrame, truth: str = "label", guess: str
 
 
 def threshold_interpolated(scored: DataFrame, q: float = 0.5) -> DataFrame:
-    """One row (threshold): the q-th quantile with linear interpolation."""
-    return scored.agg(F.percentile("score", F.lit(q)).alias("threshold"))
+    """One row (threshold): the q-th quantile with linear interpolation; null without scores. Null scores don't count.
+
+    Counts by distinct score are placed in sorted ranges; no task holds all scores."""
+    counts = score_counts(scored.filter(F.col("score").isNotNull()).withColumn("label", F.lit(0))).select("score", F.col("neg_n").alias("label"))
+    placed = global_ranks(counts, F.asc("score"))
+    n = placed.agg(F.sum("label").alias("total"))
+    rows = placed.crossJoin(F.broadcast(n)).withColumn("place", F.lit(q) * (F.col("total") - 1))
+    at = lambda place: F.min(F.when(F.col("hits") > place, F.col("score")))
+    ends = rows.agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max("place").alias("place"))
+    return ends.select((F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))).alias("threshold"))
 
 
 def threshold_element(scored: DataFrame, q: float = 0.75) -> DataFrame:

@@ -9,26 +9,46 @@ from ..functions.skills import coverage
 from .labeling import seeded
 
 
+def _numbered(resumes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (resume_id, resume_domain, slot), slots from 1 in each domain by id, and rows (resume_domain, size). Places come
+    from counts over sorted ranges: no task holds a domain."""
+    from .metrics import global_ranks
+
+    rows = resumes.select("resume_id", F.col("domain").alias("resume_domain"), F.lit(0).alias("label")).filter(F.col("resume_domain").isNotNull())
+    placed = global_ranks(rows, F.col("resume_domain"), F.col("resume_id"))
+    sized = placed.groupBy("resume_domain").agg(F.count("*").alias("size"), F.min("rn").alias("first"))
+    slots = placed.join(sized.select("resume_domain", "first"), "resume_domain")
+    return slots.select("resume_id", "resume_domain", (F.col("rn") - F.col("first") + 1).alias("slot")), sized.select("resume_domain", "size")
+
+
+def _drawn(asked: DataFrame, numbered: DataFrame, n: int, seed: int) -> DataFrame:
+    """n slots for each row of asked (job_id, jd_domain, resume_domain, size): those from a digest of job and domain on."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("job_id").cast("string"), F.col("resume_domain").cast("string")))
+    start = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("size"))
+    rows = asked.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size")).cast("int") - 1)).alias("i"))
+    rows = rows.withColumn("slot", F.pmod(start + F.col("i"), F.col("size")) + 1)
+    return rows.join(numbered, ["resume_domain", "slot"]).select("job_id", "jd_domain", "resume_id", "resume_domain")
+
+
 def domain_positives(jobs: DataFrame, resumes: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
-    """Rows (job_id, resume_id, label 1, jd_domain, resume_domain): n resumes of the job's own domain, in seeded order."""
-    pairs = jobs.select("job_id", F.col("domain").alias("jd_domain")).join(resumes.select("resume_id", F.col("domain").alias("resume_domain")), F.col("jd_domain") == F.col("resume_domain"))
-    return _pick(pairs, n, seed).withColumn("label", F.lit(1))
+    """Rows (job_id, resume_id, label 1, jd_domain, resume_domain): n resumes of the job's own domain, from a seeded place on.
+
+    What is joined is jobs by n, not all pairs of a domain."""
+    numbered, sized = _numbered(resumes)
+    own = jobs.select("job_id", F.col("domain").alias("jd_domain")).join(sized, F.col("jd_domain") == F.col("resume_domain"))
+    return _drawn(own, numbered, n, seed).withColumn("label", F.lit(1))
 
 
 def domain_negatives(jobs: DataFrame, resumes: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """Rows as above with label 0: n resumes of other domains for each job that has a resume of its own.
 
-    No join of all pairs: a job takes n candidates from each other domain's own first ones, in the order of a domain and
-    job digest, so what is joined is jobs by domains by n."""
+    No join of all pairs: a job takes n candidates from each other domain, from a seeded place on, and the first n of these
+    in seeded order; what is joined is jobs by domains by n."""
+    numbered, sized = _numbered(resumes)
     own = jobs.select("job_id", F.col("domain").alias("jd_domain"))
-    domains = resumes.select(F.col("domain").alias("resume_domain")).distinct()
-    here = own.join(domains, F.col("jd_domain") == F.col("resume_domain"), "left_semi")
-    sized = resumes.groupBy(F.col("domain").alias("resume_domain")).agg(F.count("*").alias("size"))
-    numbered = resumes.select("resume_id", F.col("domain").alias("resume_domain"), F.row_number().over(Window.partitionBy("domain").orderBy("resume_id")).alias("slot"))
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("job_id").cast("string"), F.col("resume_domain").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("size"))
-    asked = here.join(sized, F.col("jd_domain") != F.col("resume_domain")).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size")).cast("int") - 1)).alias("i"))
-    asked = asked.withColumn("slot", (F.pmod(start + F.col("i"), F.col("size")) + 1).cast("int"))
-    return _pick(asked.join(numbered, ["resume_domain", "slot"]).select("job_id", "jd_domain", "resume_id", "resume_domain"), n, seed).withColumn("label", F.lit(0))
+    here = own.join(sized, F.col("jd_domain") == F.col("resume_domain"), "left_semi")
+    asked = here.join(sized, F.col("jd_domain") != F.col("resume_domain"))
+    return _pick(_drawn(asked, numbered, n, seed), n, seed).withColumn("label", F.lit(0))
 
 
 def _pick(pairs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -66,19 +86,32 @@ def skill_pairs(job_skills: DataFrame, resume_skills: DataFrame, k: int = 5) ->
 def with_zeros(scored: DataFrame, jobs: DataFrame, resumes: DataFrame, k: int) -> DataFrame:
     """scored plus as many pairs of score 0 as extremes(k) can need: for each job the first k and the last k absent ids.
 
-    A job's absent ids among the first (last) k + m ids include its first (last) k, m being its present pairs there; so
-    jobs meet only that many ids from either end of the sorted list, and all ids only if their pairs fill it."""
-    counts = scored.groupBy("job_id").agg(F.count("*").alias("m"))
-    asked = jobs.join(counts, "job_id", "left").select("job_id", (F.coalesce("m", F.lit(0)) + k).alias("reach"))
-    most = asked.agg(F.max("reach")).first()[0] or 0
-    first = resumes.select("resume_id").distinct().orderBy("resume_id").limit(most)
-    last = resumes.select("resume_id").distinct().orderBy(F.desc("resume_id")).limit(most)
-    g = F.lit(0).alias("g")
-    low = first.select("resume_id", g).withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("resume_id")))
-    high = last.select("resume_id", g).withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("resume_id"))))
-    ends = low.unionByName(high)
-    zero = asked.join(ends, F.col("place") <= F.col("reach")).select("job_id", "resume_id").distinct().join(scored, ["job_id", "resume_id"], "left_anti")
-    return scored.unionByName(zero.withColumn("score", F.lit(0.0)))
+    Ids get places in their whole order from counts over sorted ranges. Present ids are counted by job and stretch of
+    places; only stretches up to the k-th absent id, from either end, are spelled out."""
+    from .metrics import global_ranks
+
+    ids = resumes.select("resume_id").distinct()
+    n = ids.count()
+    placed = global_ranks(ids.withColumn("label", F.lit(0)), F.asc("resume_id")).select("resume_id", "rn")
+    present = scored.select("job_id", "resume_id").join(placed, "resume_id")
+    asked = jobs.select("job_id").distinct()
+    low = _first_absent(present.select("job_id", "rn"), asked, n, k)
+    high = _first_absent(present.select("job_id", (n + 1 - F.col("rn")).alias("rn")), asked, n, k).select("job_id", (n + 1 - F.col("rn")).alias("rn"))
+    zero = low.union(high).distinct().join(placed, "rn").select("job_id", "resume_id").join(scored, ["job_id", "resume_id"], "left_anti")
+    return scored.unionByName(zero.withColumn("score", F.lit(0.0)), allowMissingColumns=True)
+
+
+def _first_absent(present: DataFrame, jobs: DataFrame, n: int, k: int) -> DataFrame:
+    """Places (job_id, rn) among which are each job's first k of 1..n that are not present."""
+    size = max(128, k)
+    counts = present.groupBy("job_id", F.floor((F.col("rn") - 1) / size).alias("stretch")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy("job_id").orderBy("stretch")
+    before = F.col("stretch") * size - F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a stretch without a present id has enough: none after it is needed
+    full = counts.withColumns({"i": F.row_number().over(by) - 1, "absent": before}).filter((F.col("stretch") == F.col("i")) & (F.col("absent") < k))
+    after = jobs.join(full.groupBy("job_id").agg((F.max("stretch") + 1).alias("stretch")), "job_id", "left").select("job_id", F.coalesce("stretch", F.lit(0)).alias("stretch"))
+    needed = full.filter(F.col("c") < size).select("job_id", "stretch").union(after).filter(F.col("stretch") * size < n)
+    return needed.select("job_id", F.explode(F.sequence(F.col("stretch") * size + 1, F.least((F.col("stretch") + 1) * size, F.lit(n)))).alias("rn"))
 
 
 def coverage_scores(pairs: DataFrame, job_skills: DataFrame, resume_skills: DataFrame) -> DataFrame:

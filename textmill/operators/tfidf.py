@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ENGLISH_STOP_WORDS
 from ..functions.text import tokens
+from .search import nearest_sparse
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text", stop_words: list[str] | None = None) -> DataFrame:
@@ -37,8 +38,8 @@ def fitted(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_term
 def transform(docs: DataFrame, vocabulary: DataFrame, id_col: str = "id", text_col: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """Rows (id, term, weight), of unit length for each id. The vocabulary is bounded by fit(), so it is broadcast."""
     rows = term_frequencies(docs, id_col, text_col, stop_words).join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    length = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return rows.join(length, "id").select("id", "term", (F.col("raw") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))  # of one document's terms
+    return rows.select("id", "term", (F.col("raw") / length).alias("weight"))
 
 
 def similarities(left: DataFrame, right: DataFrame, left_id: str = "job_id", right_id: str = "resume_id") -> DataFrame:
@@ -55,3 +56,21 @@ def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
     b = right.select(F.col("id").alias(right_id), "term", F.col("weight").alias("w2"))
     sums = a.join(b, [right_id, "term"]).groupBy(left_id, right_id).agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
     return pairs.join(sums, [left_id, right_id], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def vectors(weights: DataFrame, vocabulary: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, vector array<struct<at, weight>>) for all of ids (id): places of terms in the order of the vocabulary,
+    which fit() has bounded. Ids without terms have an empty vector."""
+    terms = sorted(r["term"] for r in vocabulary.select("term").collect())
+    places = vocabulary.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, at int")
+    lists = weights.join(F.broadcast(places), "term").groupBy("id").agg(F.collect_list(F.struct("at", "weight")).alias("vector"))
+    return ids.select("id").distinct().join(lists, "id", "left").select("id", F.coalesce("vector", F.array().cast("array<struct<at:int,weight:double>>")).alias("vector"))
+
+
+def extremes(left: DataFrame, right: DataFrame, width: int, k: int, digits: int = 9) -> DataFrame:
+    """Rows (job_id, resume_id, score, label): for each of left the k of right with the greatest product of vectors() as 1
+    (the greater id first among equals) and the k with the least as 0 (the lesser first), products of 0 included."""
+    best = nearest_sparse(left, right, width, k, largest=True, later_first=True, digits=digits)
+    worst = nearest_sparse(left, right, width, k, largest=False, digits=digits)
+    pick = lambda rows, label: rows.select(F.col("q").alias("job_id"), F.col("d").alias("resume_id"), "score", F.lit(label).alias("label"))
+    return pick(best, 1).unionByName(pick(worst, 0))

@@ -22,6 +22,10 @@ from ..operators.explain import explain_batch
 from ..sources import readers, sinks
 
 
+#: Skill names that are sent to the executors; a longer dictionary is refused, not cut.
+MOST_SKILLS = 200_000
+
+
 def ingestion(spark: SparkSession, data: str, out: str, config: EngineConfig) -> None:
     domains = readers.domain_dictionary(f"{data}/domains.json")
     jobs = labeling.label_domains(readers.csv(spark, f"{data}/jobs.csv", readers.JOBS), domains)
@@ -35,7 +39,10 @@ def ingestion(spark: SparkSession, data: str, out: str, config: EngineConfig) ->
 def preprocessing(spark: SparkSession, data: str, out: str, config: EngineConfig) -> None:
     from ..functions.skills import match_substring
 
-    names = [r[0] for r in readers.csv(spark, f"{data}/skills.csv", readers.SKILLS).select(F.lower("skill_name")).distinct().collect() if r[0]]
+    rows = readers.csv(spark, f"{data}/skills.csv", readers.SKILLS).select(F.lower("skill_name")).distinct().limit(MOST_SKILLS + 1).collect()
+    if len(rows) > MOST_SKILLS:
+        raise ValueError(f"over {MOST_SKILLS} skills: match them by a join")
+    names = [r[0] for r in rows if r[0]]
     run = encode(HashingEncoder(), config.encode_batch)
     resumes = spark.read.parquet(f"{out}/resumes_raw").withColumn("text", normalize_text(F.col("text")))
     sinks.table(resumes.withColumns({"skills": match_substring(F.col("text"), names), "vector": run("text")}), f"{out}/resumes")
