@@ -22,11 +22,13 @@ SECTION_WEIGHTS: dict[str, float] = {
 }
 
 # Words that keyword overlap ignores.
-KEYWORD_STOP_WORDS: list[str] = (
-    "the and for are with you this that have from will can your our not has was all but been also they their more about "
-    "which when would make like than other into its over such any only who what how most should could does did just very "
-    "use using work working based well need must able including across ensure strong new best"
-).split()
+KEYWORD_STOP_WORDS: list[str] = [
+    "the", "and", "for", "are", "with", "you", "this", "that", "have", "from", "will", "can", "your", "our",
+    "not", "has", "was", "all", "but", "been", "also", "they", "their", "more", "about", "which", "when", "would",
+    "make", "like", "than", "other", "into", "its", "over", "such", "any", "only", "who", "what", "how", "most",
+    "should", "could", "does", "did", "just", "very", "use", "using", "work", "working", "based", "well", "need",
+    "must", "able", "including", "across", "ensure", "strong", "new", "best",
+]
 
 # The built-in skill vocabulary.
 SKILL_VOCABULARY: list[str] = [
@@ -64,18 +66,29 @@ GROUP_CUES: dict[str, list[str]] = {
     "female": ["she", "her", "hers", "mother", "daughter", "sister", "lady", "ms", "mrs", "miss"],
 }
 GROUP_NAMES: dict[str, list[str]] = {
-    "male": "john james robert michael william david richard joseph thomas charles daniel matthew anthony mark donald steven paul andrew rahul amit vikram arun suresh rajesh".split(),
-    "female": "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa priya anita sunita kavita neha pooja".split(),
-}
+    "male": [
+        "john", "james", "robert", "michael", "william", "david", "richard", "joseph", "thomas", "charles", "daniel",
+        "matthew", "anthony", "mark", "donald", "steven", "paul", "andrew", "rahul", "amit", "vikram", "arun",
+        "suresh", "rajesh",
+    ],
+    "female": [
+        "mary", "patricia", "jennifer", "linda", "elizabeth", "barbara", "susan", "jessica", "sarah", "karen",
+        "nancy", "lisa", "priya", "anita", "sunita", "kavita", "neha", "pooja",
+    ],
+}
 
 # Own list: English function words that TF-IDF leaves out. It is no copy of another library's list.
-ENGLISH_STOP_WORDS: list[str] = (
-    "a about above after again all also am an and any are as at be because been before being below between both but by can "
-    "could did do does doing down during each few for from further had has have having he her here hers him his how i if in "
-    "into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some "
-    "such than that the their them then there these they this those through to too under until up very was we were what when "
-    "where which while who whom why will with would you your"
-).split()
+ENGLISH_STOP_WORDS: list[str] = [
+    "a", "about", "above", "after", "again", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "could", "did", "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having",
+    "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me",
+    "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our",
+    "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them",
+    "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very",
+    "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would",
+    "you", "your",
+]
 
 
 @dataclass(frozen=True)

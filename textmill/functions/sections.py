@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SECTION_KEYWORDS, SECTION_WEIGHTS
-from .text import strip, word_count
+from .text import let, strip, word_count
 
 
 def header_of(line: Column, keywords: list[tuple[str, list[str]]] = SECTION_KEYWORDS, strict: bool = False) -> Column:
@@ -15,11 +15,16 @@ def header_of(line: Column, keywords: list[tuple[str, list[str]]] = SECTION_KEYW
     strict asks that the line be a keyword, instead of holding one."""
     clean = strip(F.regexp_replace(strip(F.lower(line)), r"^[\s\-\*\#\=\|\.\_\~\>\:\d]+", ""))
     clean = strip(F.regexp_replace(clean, r"[\s\-\*\#\=\|\.\_\~\>\:]+$", ""))
-    found = F.lit(None).cast("string")
-    for name, words in reversed(keywords):
-        hit = clean.isin(words) if strict else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(clean, w))
-        found = F.when(hit, F.lit(name)).otherwise(found)
-    return F.when((F.char_length(clean) > 0) & (F.char_length(clean) <= 60), found)
+    def name(c: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for section, words in reversed(keywords):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | (c == w if strict else F.contains(c, F.lit(w)))
+            found = F.when(hit, F.lit(section)).otherwise(found)
+        return F.when((F.char_length(c) > 0) & (F.char_length(c) <= 60), found)
+
+    return let(clean, name)  # the line is cleaned once, not once a keyword
 
 
 def section_lines(docs: DataFrame, id_col: str, text_col: str, keywords=SECTION_KEYWORDS, strict: bool = False) -> DataFrame:

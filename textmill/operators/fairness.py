@@ -8,32 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GROUP_CUES, GROUP_NAMES
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .metrics import global_ranks, threshold_interpolated
 
 
 def group_proxy(text: Column, cues: dict[str, list[str]] = GROUP_CUES, names: dict[str, list[str]] = GROUP_NAMES, bonus: int = 5, least: int = 2) -> Column:
     """The group with strictly the most cue words, and `least` of them at least; else 'unknown'. A first name as the
     first word of the first line counts `bonus`, for the first group that has it. A rough proxy, for audits only."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    first = F.split(strip(F.substring_index(low, "\n", 1)), r"\s+")[0]
-    counts: dict[str, Column] = {}
-    named = F.lit(False)
-    for group, words in cues.items():
-        hits = F.lit(0)
-        for w in words:
-            hits = hits + F.regexp_count(low, F.lit(rf"\b{w}\b"))
-        called = first.isin(names.get(group, [])) if names.get(group) else F.lit(False)
-        counts[group] = hits + F.when(called & ~named, bonus).otherwise(0)
-        named = named | called
-    out = F.lit("unknown")
-    for group, n in counts.items():
-        rest = [m for g, m in counts.items() if g != group]
-        wins = n >= least
-        for m in rest:
-            wins = wins & (n > m)
-        out = F.when(wins, F.lit(group)).otherwise(out)
-    return out
+    def proxy(low: Column) -> Column:
+        first = F.split(strip(F.substring_index(low, "\n", 1)), r"\s+")[0]
+        counts: dict[str, Column] = {}
+        named = F.lit(False)
+        for group, words in cues.items():
+            called = first.isin(names.get(group, [])) if names.get(group) else F.lit(False)
+            # words between boundaries can't overlap: one pattern counts all of them
+            hits = F.regexp_count(low, F.lit(rf"\b(?:{'|'.join(words)})\b")) if words else F.lit(0)
+            counts[group] = hits + F.when(called & ~named, bonus).otherwise(0)
+            named = named | called
+        out = F.lit("unknown")
+        for group, n in counts.items():
+            wins = n >= least
+            for other, m in counts.items():
+                if other != group:
+                    wins = wins & (n > m)
+            out = F.when(wins, F.lit(group)).otherwise(out)
+        return out
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), proxy)
 
 
 def risk_level(ratio: Column) -> Column:
