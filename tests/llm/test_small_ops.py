@@ -210,8 +210,12 @@ def test_repeats_by_rounds_of_buckets(spark):
     rounds = []
     substrings.repeated_spans(docs, units, rounds).collect()
     assert len(rounds) == 1 + len(units.widths()) and units.widths()[-1] == 1
-    assert all(hi - lo < w for w, live in zip(units.widths(), rounds[1:], strict=True) for _, _, lo, hi in live)
-    assert len(rounds[0]) > len(texts) and all(again for _, again, _, _ in rounds[-1])
+    assert all(hi - lo < w for w, live in zip(units.widths(), rounds[1:], strict=True) for *_, lo, hi in live)
+    for live in rounds:
+        members = collections.Counter(k for k, *_ in live)
+        assert min(members.values()) > 1  # a run alone in its bucket is done
+        assert not {k for k, _, is_open, *_ in live if is_open} - {k for k, whole, *_ in live if not whole}
+    assert len(rounds[0]) > 100 and all(whole and not is_open for _, whole, is_open, *_ in rounds[-1])
 
     raw = np.frombuffer((texts[0] + texts[0][:300]).encode(), np.uint8)  # the same strings at two places
     spans = substrings.Spans(substrings.BYTE_CODES[raw])

@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def bytes_units(length: int) -> Units:
 
 
 def word_units(length: int) -> Units:
-    return Units(length, max(1, min(6, length // 2)), words=True, across=True)
+    return Units(length, max(1, min(4, length // 2)), words=True, across=True)
 
 
 class Spans:
@@ -107,41 +108,46 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, units: Units) -> dict[str, n
     return {"doc": owner[first], "k": bucket[a].view(np.int64), "u": u, "v": v, "a": a - base, "lo": lo - base, "hi": hi - base}
 
 
-_RUN = "id long, copy long, k long, u long, v long, a int, lo int, hi int"
+_RUN = "r long, id long, copy long, k long, u long, v long, a int, lo int, hi int"
+
+
+def _numbers(start: int, n: int) -> pa.Array:
+    """Numbers of a task's next rows; no other task has them."""
+    return pa.array(np.arange(n) + (start + (TaskContext.get().partitionId() << 40)))
 
 
 def _runs(units: Units):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in chunks(batches, limit=1 << 19):  # some fifteen arrays of 8 bytes for each byte of text
             got = anchors(*units.codes(batch.column("text")), units)
             take = pa.array(got["doc"])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("copy").take(take), *[pa.array(got[c]) for c in ("k", "u", "v")], *[pa.array(got[c], pa.int32()) for c in ("a", "lo", "hi")]], names=["id", "copy", "k", "u", "v", "a", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([_numbers(n, len(take)), batch.column("id").take(take), batch.column("copy").take(take), *[pa.array(got[c]) for c in ("k", "u", "v")], *[pa.array(got[c], pa.int32()) for c in ("a", "lo", "hi")]], names=["r", "id", "copy", "k", "u", "v", "a", "lo", "hi"])
+            n += len(take)
 
     return find
 
 
-def sort_round(runs: DataFrame, units: Units, name: str, last: bool = False) -> tuple[DataFrame | None, DataFrame, DataFrame]:
-    """One round on runs (id, copy, k, u, v, lo, hi, ...): the open ones, those whose content repeats as a whole, and the
-    table of live buckets.
+def sort_round(runs: DataFrame, units: Units, name: str) -> DataFrame:
+    """One round on runs (r, id, copy, k, u, v, lo, hi, ...), written: those in live buckets, with `whole` if their content
+    repeats as a whole and `open` if they are to be cut.
 
     A bucket is live if more than one run is in it (from more than one document, where that is asked). Open are, of live
     buckets that hold a content which doesn't repeat as a whole, such contents and one run of each content that does."""
-    place = [c for c in runs.columns if c not in ("k", "u", "v")]
-    doc = F.struct("id", "copy")
-    contents = runs.groupBy("k", "u", "v").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("run"), F.min(doc).alias("d0"), F.max(doc).alias("d1"))
-    contents = contents.withColumn("again", F.col("d0") != F.col("d1") if units.across else F.col("c") > 1)
-    buckets = contents.groupBy("k").agg(F.sum("c").alias("n"), F.min("again").alias("settled"), F.min("d0").alias("e0"), F.max("d1").alias("e1"))
-    buckets = buckets.filter(F.col("e0") != F.col("e1") if units.across else F.col("n") > 1)
-    live = written(contents.join(buckets.select("k", "settled"), "k").select("k", "u", "v", "again", "settled", "run"), f"{name}-buckets")
-    whole = runs.join(live.filter("again").select("k", "u", "v"), ["k", "u", "v"], "left_semi").select("id", "copy", "lo", "hi")
-    if last:
-        return None, whole, live
-    if units.across:  # a content that one document holds twice is open in all its places
-        left = live.filter("again and not settled").select("k", "run.*")
-        left = left.unionByName(runs.join(live.filter("not again").select("k", "u", "v"), ["k", "u", "v"], "left_semi").select("k", *place))
+    doc = F.xxhash64("id", "copy")
+    counts = [F.min(doc).alias("d0"), F.max(doc).alias("d1")] if units.across else [F.count("*").alias("c")]
+    contents = runs.groupBy("k", "u", "v").agg(F.min("r").alias("first"), *counts)
+    contents = contents.withColumn("whole", F.expr("d0 <> d1" if units.across else "c > 1"))
+    settled = F.min("whole").alias("settled")
+    if units.across:
+        buckets = contents.groupBy("k").agg(settled, F.min("d0").alias("e0"), F.max("d1").alias("e1")).filter("e0 <> e1")
     else:
-        left = live.filter("not settled").select("k", "run.*")
-    return left, whole, live
+        buckets = contents.groupBy("k").agg(settled, F.sum("c").alias("n")).filter("n > 1")
+    live = written(contents.join(buckets.select("k", "settled"), "k").select("k", "u", "v", "whole", "settled", "first"), f"{name}-buckets")
+    is_open = F.expr("not settled and (not whole or r = first)").alias("open")
+    placed = written(runs.join(live, ["k", "u", "v"]).select(*[c for c in runs.columns if c not in ("r", "u", "v")], "whole", is_open), name)
+    discard(live)
+    return placed
 
 
 _CONTEXT = "id long, copy long, at int, a int, k long, lo int, hi int, context binary"
@@ -196,6 +202,7 @@ def narrower(spans: Spans, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.
 
 def _cutter(units: Units, width: int, before: int | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in chunks(batches, "context", 1 << 20):
             data, offsets = text_bytes(batch.column("context"))
             codes, offsets = (data.view(np.uint64), offsets // 8) if units.words else (BYTE_CODES[data], offsets)
@@ -208,7 +215,8 @@ def _cutter(units: Units, width: int, before: int | None):
             got = narrower(Spans(codes), a + shift, lo + shift, hi + shift, k, units, width, before)
             row, back = got["row"], shift[got["row"]]
             take = pa.array(of[row])
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("id", "copy", "at")] + [pa.array(got[c]) for c in ("k", "u", "v")] + [pa.array(got[c] - back, pa.int32()) for c in ("lo", "hi")], names=["id", "copy", "at", "k", "u", "v", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([_numbers(n, len(take))] + [batch.column(c).take(take) for c in ("id", "copy", "at")] + [pa.array(got[c]) for c in ("k", "u", "v")] + [pa.array(got[c] - back, pa.int32()) for c in ("lo", "hi")], names=["r", "id", "copy", "at", "k", "u", "v", "lo", "hi"])
+            n += len(take)
 
     return cut
 
@@ -216,42 +224,41 @@ def _cutter(units: Units, width: int, before: int | None):
 def repeated_spans(docs: DataFrame, units: Units, rounds: list | None = None) -> DataFrame:
     """Rows (id, copy, spans) for documents (id, copy, text): starts lo..hi of strings that also start elsewhere.
 
-    `rounds` (for tests) gets the collected live buckets of each round."""
+    `rounds` (for tests) gets the collected runs in live buckets of each round."""
     spark = docs.sparkSession
 
-    def watch(live: DataFrame) -> None:
-        if rounds is not None:
-            rounds.append([(r.k, r.again, r.run.lo, r.run.hi) for r in live.collect()])
+    done, tables = [], []
 
-    runs = written(docs.mapInArrow(_runs(units), _RUN), "runs")
-    left, found, live = sort_round(runs, units, "grams")
-    watch(live)
+    def refined(runs: DataFrame, name: str) -> DataFrame:
+        placed = sort_round(runs, units, name)
+        if rounds is not None:
+            rounds.append([(x.k, x.whole, x.open, x.lo, x.hi) for x in placed.collect()])
+        done.append(placed.filter("whole").select("id", "copy", "lo", "hi"))
+        tables.append(placed)
+        discard(runs)
+        release(spark)
+        return placed.filter("open")
+
+    left = refined(written(docs.mapInArrow(_runs(units), _RUN), "runs"), "grams")
     asked = left.groupBy("id", "copy").agg(F.collect_list(F.struct("k", "a", "lo", "hi")).alias("runs"))
     # rows alike in id and text share runs: one of them is read
     texts = docs.join(asked, ["id", "copy"]).select("id", "copy", "text", "runs")
     contexts = written(texts.mapInArrow(_contexts(units), _CONTEXT).dropDuplicates(["id", "copy", "at"]), "contexts")
-    done = [written(found, "repeats")]
-    discard(runs)
-    discard(live)
     release(spark)
     chosen = contexts.withColumn("runs", F.array(F.struct("k", "lo", "hi")))
-    before, tables = None, [contexts]
+    before = None
     for width in units.widths():
-        schema = "id long, copy long, at int, k long, u long, v long, lo int, hi int"
+        schema = "r long, id long, copy long, at int, k long, u long, v long, lo int, hi int"
         parts = written(chosen.select("id", "copy", "at", "a", "context", "runs").mapInArrow(_cutter(units, width, before), schema), "parts")
-        left, found, live = sort_round(parts, units, "parts", last=width == 1)
-        watch(live)
-        done.append(written(found, "repeats"))
-        tables += [parts, live]
-        if left is not None:
-            again = left.groupBy("id", "copy", "at").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("runs"))
-            chosen = contexts.select("id", "copy", "at", "a", "context").join(again, ["id", "copy", "at"])
+        left = refined(parts, "buckets")
+        again = left.groupBy("id", "copy", "at").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("runs"))
+        chosen = contexts.select("id", "copy", "at", "a", "context").join(again, ["id", "copy", "at"])
         before = width
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
     spans = written(every.groupBy("id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    for table in (*tables, *done):
+    for table in (contexts, *tables):
         discard(table)
     release(spark)
     return spans
