@@ -173,12 +173,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are shuffled once, into sorted ranges of ids; only the first and last text of each range meet again.
 
     Defined results: a null text is empty; texts without words agree in all samples among themselves and in none with
-    others; a null id sorts first; rows of one id are ordered by text; other columns are ignored; one row alone is
+    others; a null id sorts first; rows of one id are ordered by the digest of their text; other columns are ignored; one row alone is
     followed by itself; an empty table gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = base.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = base.withColumn("digest", F.md5("text"))  # rows of one id are spread, too
+    sorted_rows = keyed.repartitionByRange(ranges, "doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     walked = written(sorted_rows.mapInArrow(_walk, f"{_SCHEMA}, part int, edge int, text string"), "fingerprints")
     # one row a range: which range comes next, the first one after the last
     parts = sorted(r["part"] for r in walked.filter("edge = 0").select("part").collect())

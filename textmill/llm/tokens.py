@@ -18,6 +18,9 @@ SLOT_BITS = 20
 #: No more words are kept once the known ones have so many ids.
 POOL_IDS = 4_000_000
 
+#: The pattern under which a text is a single word.
+WHOLE = r"(?s).+"
+
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -74,7 +77,7 @@ class WordEncoder:
     """Encodes blocks of texts. Words seen before are found in a table with one slot a word, 2**SLOT_BITS in all."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        self.library = encoding(ranks_path, pattern)
+        self.library, self.pieces = encoding(ranks_path, pattern), encoding(ranks_path, WHOLE)
         self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
         self.begin = np.zeros(1 << SLOT_BITS, np.int32)
         self.count = np.zeros(1 << SLOT_BITS, np.int32)  # no word has 0 ids: such a slot is free
@@ -87,8 +90,8 @@ class WordEncoder:
         begin, count = self.begin[slots], self.count[slots]
         missed = np.flatnonzero((count == 0) | (self.keys[slots] != keys))
         new, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
-        raw, encode = data.tobytes(), self.library._core_bpe.encode_single_piece
-        lists = [encode(raw[a:b]) for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]
+        raw, encode = data.tobytes(), self.pieces.encode_ordinary
+        lists = [encode(raw[a:b].decode()) for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]
         sizes = np.fromiter(map(len, lists), np.int32, len(lists))
         pool = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(lists)), np.uint32)])
         places = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
