@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BYTE_CODES, chunks, mix64, text_bytes
 from .labelled import held_out, one_text_each
-from .scratch import quoted, written
+from .scratch import discard, quoted, written
 
 #: n-gram lengths in bytes that the kernel blends.
 SPECTRUM = (2, 3, 4, 5)
@@ -186,6 +186,7 @@ def languages(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_
     landmarks = Landmarks(found)
     rows = sample.mapInArrow(_kernels(spark.sparkContext.broadcast(landmarks)), "doc_id long, lang string, kernels binary").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(map(bytes, rows["kernels"])), np.float32).reshape(len(rows), len(found)).astype(float)
+    discard(sample)
     names, coefficients = fit(np.array([landmarks.kernel(f) for f in found]).reshape(len(found), len(found)), x, rows["lang"].tolist())
     model = spark.sparkContext.broadcast((names, landmarks.row, landmarks.folded(coefficients)))
     asked = base.select("doc_id", "text", F.coalesce(F.regexp_like("text", F.lit(_HAS_LETTER)), F.lit(False)).alias("letters"))

@@ -181,7 +181,7 @@ def _prefixes(seen, percent: int):
 
 
 def _crossing(bands: DataFrame, roots: DataFrame, texts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between texts that share a bucket but that the first links left in different groups.
+    """Confirmed links, written, between texts that share a bucket but that the first links left in different groups.
 
     Members of buckets with more than one group are joined exactly, by the rarest shingles of each: texts alike enough
     share one. What many texts share is never among the rarest of most, so a bucket's size doesn't matter. Pairs are only
@@ -201,14 +201,22 @@ def _crossing(bands: DataFrame, roots: DataFrame, texts: DataFrame, done: DataFr
     other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("size_b"))
     like = (100 * F.least("n_shingles", "size_b") >= percent * F.greatest("n_shingles", "size_b")) & (F.col("root") != F.col("root_b"))
     pairs = small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b").filter(like).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    links = _confirmed(written(pairs, "crossing"), members.select("rep", "text"), percent)
+    pairs = written(pairs, "crossing")
+    links = _confirmed(pairs, members.select("rep", "text"), percent)
     k = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
     large = rows.filter(F.col("n") > SMALL_GROUP).withColumn("k", k).withColumn("own", F.pmod(F.hash("rep"), F.col("k")))
+    tables = (members, rare, rows, pairs)
     if large.isEmpty():
-        return links
+        late = written(links, "late")
+        for table in tables:
+            discard(table)
+        return late
     cells = large.select("key", "rep", "root", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root").join(members.select("rep", "text"), "rep")
-    return links.union(cells.groupBy("key", "i", "j").applyInPandas(_block_linker(percent), "a long, b long"))
+    late = written(links.union(cells.groupBy("key", "i", "j").applyInPandas(_block_linker(percent), "a long, b long")), "late")
+    for table in tables:
+        discard(table)
+    return late
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -234,10 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(near.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "pairs")
     links = written(_confirmed(pairs, texts, percent), "confirmed")
     roots = written(connected(links), "roots")
-    late = written(_crossing(bands, roots, texts, pairs, percent), "late")
+    late = _crossing(bands, roots, texts, pairs, percent)
     if not late.isEmpty():
         roots = written(connected(links.union(late)), "roots")
-    discard(pairs)
+    for table in (pairs, links, late):
+        discard(table)
     found = signed.select("rep", "copy").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("copy", F.coalesce("root", "rep").alias("group"))
     out = rows.select("doc_id", "copy", "n_shingles").join(found, "copy")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,26 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: it outlives lost executors and is computed once."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/textmill/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, reread: it outlives lost executors and is computed once. What is left
+    of an application's tables goes when its driver ends; discard() deletes one earlier."""
+    spark = df.sparkSession
+    root = f"{folder(spark).rstrip('/')}/textmill/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete, root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_roots: set[str] = set()
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is not None and SparkContext._gateway is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def whole_row(df: DataFrame, name: str = "row") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER_ASCII, chunks, text_bytes, word_codes
 from .labelled import held_out, one_text_each, training_sample
 from .quality import _LETTERS
-from .scratch import written
+from .scratch import discard, written
 
 #: Labelled examples in the index, about: half of each label if there are so many.
 EXAMPLES = 4_000
@@ -277,6 +277,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", t
     own = told.select("y", "doc_id", "terms", "counts").mapInArrow(_known(vocabulary), "doc_id long, y int, terms array<int>, counts array<int>")
     votes = own.mapInArrow(_own_votes(model), "y int, vote double").filter("vote is not null").toPandas()  # bounded by `examples`
     votes = votes.sort_values(["y", "vote"])
+    discard(told)
     scale.calibrate(votes["vote"].to_numpy(float), votes["y"].to_numpy(), share)
     scored = vectors.mapInArrow(_scorer(model, scale), f"doc_id long, score double, evidence {EVIDENCE}")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
