@@ -4,6 +4,7 @@ Order inside a query: score descending, then pos descending (the later of equals
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +78,15 @@ def flat(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10)) -> DataFr
 def global_ranks(rows: DataFrame, *order: Column, buckets: int | None = None) -> DataFrame:
     """rows plus rn, their place in the whole order, and hits, the labels up to them, without a window over everything.
 
-    Rows are sorted into ranges; a range's rows are counted, and each gets the counts of the ranges before it."""
+    Rows are sorted into ranges; a range's rows are counted, and each gets the counts of the ranges before it. Limits of
+    ranges come from a sample, so both readings must have the same ranges: the placed rows are kept on the executors'
+    disks (what a lost one held is read again from the same shuffle)."""
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
     inside = Window.partitionBy("range").orderBy(*order)
     placed = placed.withColumns({"in_range": F.row_number().over(inside), "in_hits": F.sum("label").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    placed = placed.persist(StorageLevel.DISK_ONLY)
     totals = placed.groupBy("range").agg(F.count("*").alias("c"), F.sum("label").alias("l")).withColumn("g", F.lit(0))
     before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     bases = totals.select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("l").over(before), F.lit(0)).alias("base_hits"))
