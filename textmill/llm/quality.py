@@ -123,8 +123,8 @@ def _pooler(vectors):
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[str, np.ndarray | float]:
-    """A network of one hidden layer (tanh) by Adam. Of the rows a sixth is held back to stop early by, and another sixth,
-    used for nothing else, sets the temperature.
+    """A network of one hidden layer (tanh) by Adam. A sixth of the rows is used for nothing but the temperature. Another
+    sixth tells after how many epochs to stop; then the network is fitted anew for so many on these rows, too.
 
     With no rows, or rows of one class only, it scores that class's smoothed share."""
     rng = np.random.default_rng(seed)
@@ -140,9 +140,21 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
     back, last, train = order[:sixth], order[sixth : 2 * sixth], order[2 * sixth :]
     if not len(train):
         return model
-    p = {"w1": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": model["b2"].copy()}
+
+    def logits(p: dict, rows: np.ndarray) -> np.ndarray:
+        return np.tanh(z[rows] @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"]
+
+    losses = [np.mean(np.logaddexp(0, np.where(y[back] > 0, -t, t))) for t in (logits(p, back) for p in _epochs(z, y, train, model["b2"], seed, epochs))]
+    *_, best = _epochs(z, y, np.concatenate([train, back]), model["b2"], seed, int(np.argmin(losses)) + 1)
+    return model | best | {"temperature": temperature(logits(best, last), y[last])}
+
+
+def _epochs(z: np.ndarray, y: np.ndarray, train: np.ndarray, start: np.ndarray, seed: int, epochs: int) -> Iterator[dict[str, np.ndarray]]:
+    """The network's weights after each epoch over the rows `train`."""
+    rng, width = np.random.default_rng(seed + 1), z.shape[1]
+    p = {"w1": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": start.copy()}
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    best, least, step = p, np.inf, 0
+    step = 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // 128)):
             h = np.tanh(z[rows] @ p["w1"] + p["b1"])
@@ -156,13 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 fresh[k] = p[k] - 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
             p = fresh
-        logit = np.tanh(z[back] @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"]
-        loss = np.mean(np.logaddexp(0, np.where(y[back] > 0, -logit, logit)))
-        if loss < least:
-            best, least = p, loss
-    model |= best
-    logit = np.tanh(z[last] @ best["w1"] + best["b1"]) @ best["w2"] + best["b2"]
-    return model | {"temperature": temperature(logit, y[last])}
+        yield p
 
 
 def probability(model: dict, x: np.ndarray) -> np.ndarray:
@@ -185,7 +191,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
 
     Word vectors are sums of the sparse random index vectors of neighbours, over all documents; a document is pooled to
     the mean and the root mean square of its words' unit vectors, with its length and share of fresh words. About
-    `train_rows` labelled rows, none held out, train the network; a sixth of them stops it and a sixth sets its temperature.
+    `train_rows` labelled rows, none held out, train the network; a sixth of them, used for nothing else, sets its temperature.
 
     Defined results: null and empty texts have zero features and get the score of these; a null id is held out and
     scored; repeated ids are scored each, and the least of their features are learned from; labels of ids that don't occur are ignored; without usable labels the score is
