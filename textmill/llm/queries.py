@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, lines, media, mixing, neardup, packing, quality, substrings, toxicity
+from . import fingerprints, language, lines, media, mixing, neardup, packing, phrases, quality, substrings, toxicity, trie, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,7 +61,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_fingerprints, op4_language, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+#: The rules that the query judges by (fixed values).
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, rounds=12, percent=50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), least=10, percent=50, top=2000)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_fingerprints, op4_language, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_quality, op9_pack, op10_near_duplicates, op11_prefix_trie, op12_url_filter, op13_collocations)}
 
 ORACLES: dict[str, str] = {}
 
@@ -128,3 +144,88 @@ WITH split AS (
 SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.body, '') END AS text, coalesce(len(s.ls), 0)::INT AS n_lines, (coalesce(len(s.ls), 0) - coalesce(k.n, 0))::INT AS n_removed
 FROM split s LEFT JOIN kept k USING (doc_id)
 """
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH sorted AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), shared AS (
+  SELECT conv_id, ts, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h FROM sorted
+), built AS (
+  SELECT s.conv_id, list_concat(coalesce(b.ts, [])[1:s.h], s.ts[s.h + 1:]) AS ts FROM shared s LEFT JOIN sorted b ON b.conv_id = s.conv_id - s.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, len(ts) AS deep, d, ts[1:d] AS p FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE deep = d), '')) AS ends_sha256,
+    CASE WHEN any_value(d) = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(p[d].text)) END AS own FROM prefixes GROUP BY p
+), kids AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), above AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, unnest(range(0, n.depth + 1)) AS up FROM nodes n LEFT JOIN kids k ON k.p = n.p
+), sums AS (
+  SELECT p[1:up] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved_tokens FROM above GROUP BY 1
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]
+"""
+
+ORACLES["op12_url_filter"] = r"""
+WITH RECURSIVE rules(rule, verdict, rule_host, rule_path) AS (
+  VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
+), parts AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), ruled AS (
+  SELECT p.page_id, p.host, p.path, p.html, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+  FROM parts p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path) GROUP BY ALL
+), named AS (
+  SELECT page_id, host, list_distinct(list_transform(regexp_extract_all(html, '[A-Za-z0-9_-]*\.[A-Za-z0-9_.-]*'), lambda x: translate(trim(x, '.'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS names FROM parts WHERE host <> ''
+), links AS (
+  SELECT host AS src, dst, count(*) AS n FROM (SELECT host, unnest(names) AS dst FROM named) WHERE host <> dst AND dst IN (SELECT host FROM parts WHERE host <> '') GROUP BY ALL
+), ways AS (
+  SELECT *, sum(n) OVER (PARTITION BY kind, src) AS total FROM (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links)
+), seeds AS (
+  SELECT kind, host, (n::HUGEINT * 1000000000000000 // sum(n) OVER (PARTITION BY kind)::HUGEINT)::BIGINT AS units
+  FROM (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM ruled WHERE verdict IS NOT NULL GROUP BY ALL)
+), walk AS (
+  SELECT 0 AS step, kind, host, units FROM seeds WHERE units > 0
+  UNION ALL
+  SELECT * FROM (SELECT any_value(w.step) + 1 AS step, w.kind, e.dst AS host, sum(w.units::HUGEINT * e.n * 85 // (e.total::HUGEINT * 100))::BIGINT AS units
+    FROM walk w JOIN ways e ON e.kind = w.kind AND e.src = w.host WHERE w.step < 12 GROUP BY w.kind, e.dst) WHERE units > 0
+), scores AS (
+  SELECT host, sum(CASE WHEN kind = 'trust' THEN units ELSE 0 END)::BIGINT AS trust, sum(CASE WHEN kind = 'distrust' THEN units ELSE 0 END)::BIGINT AS distrust FROM walk GROUP BY host
+)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict, coalesce(s.trust, 0) AS trust, coalesce(s.distrust, 0) AS distrust
+FROM ruled r LEFT JOIN scores s USING (host)
+"""
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), one AS MATERIALIZED (
+  SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM pieces) GROUP BY ALL
+), two AS MATERIALIZED (
+  SELECT lang, t.x, t.y, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {'x': w[i], 'y': w[i + 1]})) AS t FROM pieces) GROUP BY ALL HAVING count(*) >= 10
+), three AS MATERIALIZED (
+  SELECT lang, t.x, t.y, t.z, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {'x': w[i], 'y': w[i + 1], 'z': w[i + 2]})) AS t FROM pieces) GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r FROM two t LEFT JOIN longer o ON o.lang = t.lang AND o.x = t.x AND o.y = t.y
+    JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y WHERE o.f IS NULL OR 100 * o.f < 50 * t.f
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z
+), scored AS (
+  SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), weakest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(f) FROM one o WHERE o.lang = ranked.lang)::BIGINT AS n, score FROM ranked WHERE rank <= 2000
+"""
