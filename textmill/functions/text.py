@@ -79,7 +79,8 @@ def fold_ascii(text: Column) -> Column:
     """The ASCII characters of the text's compatibility decomposition (NFKD), in the JVM: marked letters become plain
     ones, ligatures, fractions, full-width and enclosed characters what they are made of, all else outside ASCII goes.
 
-    Texts in ASCII pass as they are; only texts with a character of several are taken apart."""
+    Texts in ASCII pass as they are. Every test is a lookup by character or a comparison of lengths, none a class of
+    characters; only texts with a character of several are taken apart."""
     def several(t: Column) -> Column:
         strings = F.array(*map(F.lit, FOLD_STRINGS))
 
@@ -88,12 +89,16 @@ def fold_ascii(text: Column) -> Column:
             return F.when((c > "\x7f") & (at > 0), F.get(strings, at - 1)).otherwise(c)
 
         taken = F.array_join(F.transform(F.split(t, ""), expand), "")
-        return F.when(F.regexp_like(t, F.lit(f"[{FOLD_SEVERAL}]")), taken).otherwise(t)
+        return F.when(F.translate(t, FOLD_SEVERAL, "") != t, taken).otherwise(t)
 
-    def fold(t: Column) -> Column:
-        return F.regexp_replace(F.translate(several(t), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    def plain(t: Column) -> Column:
+        return F.octet_length(t) == F.char_length(t)
 
-    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7F]")), fold(t)).otherwise(t))
+    def left_over(t: Column) -> Column:
+        return F.when(plain(t), t).otherwise(F.regexp_replace(t, r"[^\x00-\x7F]+", ""))
+
+    folded = let(text, lambda t: F.when(plain(t), t).otherwise(F.translate(several(t), FOLD_FROM, FOLD_TO)))
+    return let(folded, left_over)
 
 
 def fold_ascii_exact():
