@@ -41,10 +41,21 @@ def one_text_each(rows: DataFrame) -> DataFrame:
     return least.select("doc_id", "least.text", *[F.col(f"least.{c}").alias(c) for c in rest])
 
 
-def temperature(logits, y) -> float:
-    """The temperature with which sigmoid(logit / temperature) has the least log loss on held-back rows."""
+#: A bound that no logit comes near.
+WIDE = 1e6
+
+
+def bounded(logits, bound: float):
+    """Logits within (-bound, bound), in the same order; small ones stay as they are."""
+    import numpy as np
+
+    return bound * np.tanh(logits / bound)
+
+
+def temperature(logits, y, bound: float = WIDE) -> float:
+    """The temperature with which sigmoid(bounded(logit / temperature)) has the least log loss on held-back rows."""
     import numpy as np
 
     grid = np.exp(np.linspace(np.log(0.2), np.log(8.0), 80))
-    loss = [np.mean(np.logaddexp(0.0, np.where(y > 0, -logits, logits) / t)) for t in grid]
+    loss = [np.mean(np.logaddexp(0.0, bounded(np.where(y > 0, -logits, logits) / t, bound))) for t in grid]
     return float(grid[int(np.argmin(loss))]) if len(y) else 1.0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import GOLDEN, chunks, hash_spans, mix64, prefix_hash, text_bytes, word_spans
-from .labelled import held_out, temperature, training_sample
+from .labelled import WIDE, bounded, held_out, temperature, training_sample
 from .scratch import written
 
 #: Words share 2**WORD_BITS context vectors by their hash, so what is summed and sent out has a fixed size.
@@ -126,12 +126,13 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
     """A network of one hidden layer (tanh) by Adam. A sixth of the rows is used for nothing but the temperature. Another
     sixth tells after how many epochs to stop; then the network is fitted anew for so many on these rows, too.
 
-    With no rows, or rows of one class only, it scores that class's smoothed share."""
+    The m rows of the temperature also bound scores: m rows without an error speak for (m + 1) / (m + 2) at most. With
+    no rows, or rows of one class only, it scores that class's smoothed share."""
     rng = np.random.default_rng(seed)
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     width = x.shape[1]
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-4) if len(x) else (np.zeros(width), np.ones(width))
-    model = {"mean": mean, "scale": scale, "w1": np.zeros((width, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.array(np.log(share / (1 - share))), "temperature": 1.0}
+    model = {"mean": mean, "scale": scale, "w1": np.zeros((width, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.array(np.log(share / (1 - share))), "temperature": 1.0, "bound": WIDE}
     if len(np.unique(y)) < 2:
         return model
     z = np.clip((x - mean) / scale, -8, 8)
@@ -146,7 +147,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60) -> dict[s
 
     losses = [np.mean(np.logaddexp(0, np.where(y[back] > 0, -t, t))) for t in (logits(p, back) for p in _epochs(z, y, train, model["b2"], seed, epochs))]
     *_, best = _epochs(z, y, np.concatenate([train, back]), model["b2"], seed, int(np.argmin(losses)) + 1)
-    return model | best | {"temperature": temperature(logits(best, last), y[last])}
+    bound = float(np.log(len(last) + 1))
+    return model | best | {"temperature": temperature(logits(best, last), y[last], bound), "bound": bound}
 
 
 def _epochs(z: np.ndarray, y: np.ndarray, train: np.ndarray, start: np.ndarray, seed: int, epochs: int) -> Iterator[dict[str, np.ndarray]]:
@@ -174,7 +176,7 @@ def _epochs(z: np.ndarray, y: np.ndarray, train: np.ndarray, start: np.ndarray,
 def probability(model: dict, x: np.ndarray) -> np.ndarray:
     z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
     logit = np.tanh(z @ model["w1"] + model["b1"]) @ model["w2"] + model["b2"]
-    return 1 / (1 + np.exp(-np.clip(logit / model["temperature"], -40, 40)))
+    return 1 / (1 + np.exp(-bounded(logit / model["temperature"], model["bound"])))
 
 
 def _scorer(model):
