@@ -4,10 +4,12 @@ Order inside a query: score descending, then pos descending (the later of equals
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .quantiles import elements, quantiles
+
 
 def ranked(scored: DataFrame, query: str = "query_id") -> DataFrame:
     """scored plus rn, the rank, ideal, the rank by label, and hits, the relevant rows so far. Null labels count 0."""
@@ -79,14 +81,14 @@ def global_ranks(rows: DataFrame, *order: Column, buckets: int | None = None) ->
     """rows plus rn, their place in the whole order, and hits, the labels up to them, without a window over everything.
 
     Rows are sorted into ranges; a range's rows are counted, and each gets the counts of the ranges before it. Limits of
-    ranges come from a sample, so both readings must have the same ranges: the placed rows are kept on the executors'
-    disks (what a lost one held is read again from the same shuffle)."""
+    ranges come from a sample, so both readings must have the same ranges: the placed rows are written to the shared
+    folder, where they outlive lost executors, and go with the driver."""
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
     inside = Window.partitionBy("range").orderBy(*order)
     placed = placed.withColumns({"in_range": F.row_number().over(inside), "in_hits": F.sum("label").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    placed = placed.persist(StorageLevel.DISK_ONLY)
+    placed = written(placed, "ranks")
     totals = placed.groupBy("range").agg(F.count("*").alias("c"), F.sum("label").alias("l")).withColumn("g", F.lit(0))
     before = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     bases = totals.select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("l").over(before), F.lit(0)).alias("base_hits"))
@@ -134,23 +136,14 @@ def classification_report(predicted: DataFrame, truth: str = "label", guess: str
 def threshold_interpolated(scored: DataFrame, q: float = 0.5) -> DataFrame:
     """One row (threshold): the q-th quantile with linear interpolation; null without scores. Null scores don't count.
 
-    Counts by distinct score are placed in sorted ranges; no task holds all scores."""
-    counts = score_counts(scored.filter(F.col("score").isNotNull()).withColumn("label", F.lit(0))).select("score", F.col("neg_n").alias("label"))
-    placed = global_ranks(counts, F.asc("score"))
-    n = placed.agg(F.sum("label").alias("total"))
-    rows = placed.crossJoin(F.broadcast(n)).withColumn("place", F.lit(q) * (F.col("total") - 1))
-    at = lambda place: F.min(F.when(F.col("hits") > place, F.col("score")))
-    ends = rows.agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max("place").alias("place"))
-    return ends.select((F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))).alias("threshold"))
+    By radix selection: four readings of the scores, no sort and no copy."""
+    return scored.sparkSession.createDataFrame([(quantiles(scored, [q])[0],)], "threshold double")
 
 
 def threshold_element(scored: DataFrame, q: float = 0.75) -> DataFrame:
-    """One row (threshold): the element of index int(n*q) in ascending order, from counts by distinct score."""
-    counts = score_counts(scored).select("score", (F.col("pos_n") + F.col("neg_n")).alias("label"))
-    placed = global_ranks(counts, F.asc("score"))
-    n = placed.agg(F.sum("label").alias("total"))
-    index = F.least(F.floor(F.col("total") * q), F.col("total") - 1)
-    return placed.crossJoin(F.broadcast(n)).filter(F.col("hits") > index).agg(F.min("score").alias("threshold"))
+    """One row (threshold): the element of index int(n*q) in ascending order; null without scores. Null scores don't count."""
+    _, values = elements(scored, lambda n: [min(int(n * q), n - 1)])
+    return scored.sparkSession.createDataFrame([(next(iter(values.values()), None),)], "threshold double")
 
 
 def classify(scored: DataFrame, threshold: DataFrame) -> DataFrame:

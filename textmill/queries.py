@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import GROUP_CUES, GROUP_NAMES, KEYWORD_STOP_WORDS, SECTION_KEYWORDS, SECTION_WEIGHTS
 from .functions import sections, skills, text, vectors
-from .operators import cache, explain, fairness, labeling, ltr, metrics, pairs, ranking, search, tfidf
+from .operators import cache, cells, explain, fairness, inverted, labeling, ltr, metrics, pairs, quantiles, ranking, search, segments, tfidf
 from .plans import tracking
 from .sources import readers, sinks
 
@@ -97,6 +97,17 @@ def vec_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_nearest(spark, sf_dir, 10, largest=False).select("query_id", "doc_id", "rank", "score"))
 
 
+@query(ORACLES["vec_topk"])
+def vec_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through cells around pivots."""
+    return rounded(cells.nearest_by_cells(*_vectors(spark, sf_dir), 10, different=True).select("query_id", "doc_id", "rank", "score", "total_candidates"))
+
+
+@query(ORACLES["vec_bottomk"])
+def vec_bottomk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cells.nearest_by_cells(*_vectors(spark, sf_dir), 10, largest=False, different=True).select("query_id", "doc_id", "rank", "score"))
+
+
 @query(f"WITH {_PAIRS} SELECT query_id, doc_id, round(0.7 * ((score + 1) / 2) + 0.3 * (doc_id % 7) / 7.0, 6) AS score FROM ranked WHERE rank <= 50")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _nearest(spark, sf_dir, 50)
@@ -180,6 +191,28 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.roc_auc(_scored(spark, sf_dir)))
 
 
+_BY_SUPPLIER = """
+WITH s AS (SELECT l_suppkey::VARCHAR AS segment, l_extendedprice::DOUBLE AS score, (l_returnflag = 'R')::INT AS label FROM lineitem),
+r AS (SELECT *, rank() OVER (PARTITION BY segment ORDER BY score) AS low, count(*) OVER (PARTITION BY segment, score) AS t FROM s),
+g AS (SELECT segment, count(*) AS n, sum(label)::BIGINT AS n_pos, (count(*) - sum(label))::BIGINT AS n_neg, sum(CASE WHEN label = 1 THEN low + (t - 1) / 2.0 ELSE 0 END) AS ranks, sum(t::DOUBLE * t - 1) AS ties,
+  quantile_cont(score, 0.5) AS q_50, quantile_cont(score, 0.9) AS q_90 FROM r GROUP BY segment)
+SELECT segment, n, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN (ranks - n_pos::DOUBLE * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg) ELSE 0 END, 6) AS roc_auc, round(ranks - n_pos::DOUBLE * (n_pos + 1) / 2, 6) AS u, round(ties, 6) AS ties, round(q_50, 6) AS q_50, round(q_90, 6) AS q_90 FROM g
+"""
+
+
+@query(_BY_SUPPLIER)
+def segment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC, U, ties and quantiles of prices for every supplier at once."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("segment"), F.col("l_extendedprice").cast("double").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return rounded(segments.by_segment(rows, "segment", quantiles=(0.5, 0.9)))
+
+
+@query("SELECT round(quantile_cont(l_extendedprice::DOUBLE, 0.01), 6) AS q_1, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS q_50, round(quantile_cont(l_extendedprice::DOUBLE, 0.999), 6) AS q_999 FROM lineitem")
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantiles.quantiles(read(spark, sf_dir, "lineitem"), [0.01, 0.5, 0.999], "l_extendedprice")
+    return rounded(spark.createDataFrame([tuple(found)], "q_1 double, q_50 double, q_999 double"))
+
+
 @query(f"WITH {_SCORED} SELECT round(quantile_cont(score, 0.5), 6) AS threshold FROM s")
 def threshold_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.threshold_interpolated(_scored(spark, sf_dir), 0.5))
@@ -538,6 +571,14 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.top_k(sims, 10, "job_id", "resume_id").select("job_id", "resume_id", "score"))
 
 
+@query(ORACLES["tfidf_topk"])
+def tfidf_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the inverted index with upper bounds."""
+    left, right = _sides_tfidf(spark, sf_dir)
+    best = inverted.top_products(left.select(F.col("id").alias("q"), "term", F.col("weight").alias("w")), inverted.index(right), 10)
+    return rounded(best.select(F.col("q").alias("job_id"), F.col("id").alias("resume_id"), "score"))
+
+
 @query(f"""
 WITH {_TFIDF}, c AS (SELECT b.item_id AS job_id, d.doc_id AS resume_id, coalesce(round(s.score, 9), 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN sims s ON s.job_id = b.item_id AND s.resume_id = d.doc_id)
 SELECT job_id, resume_id, round(score, 6) AS score, 1 AS label FROM c QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY c.score DESC, resume_id DESC) <= 10
