@@ -113,3 +113,13 @@ def test_terms_by_automaton_equal_terms_one_by_one(spark, monkeypatch):
         return v in t if len(v) > 3 else re.search(rf"\b{re.escape(v)}\b", t, re.A) is not None
 
     assert each == {i: sorted(v for v in terms if stands((t or "").lower(), v)) for i, t in enumerate(values)}
+
+
+def test_sections_stay_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "Skills\npython\n\nEducation\nMS\nSkills:\nsql"), (2, "\n \nno header"), (3, ""), (4, None), (5, "Skills"), (6, "\n\nskills\n")], "id long, t string")
+    got = sections.sections(docs, "id", "t")
+    assert {(r.id, r.section): tuple(r[2:]) for r in got.collect()} == {(1, "skills"): ("python\nsql", 0, 6, 2, 1), (1, "education"): ("MS", 3, 4, 1, 2), (2, "other"): ("no header", 0, 2, 2, 0), (5, "skills"): ("", 0, 0, 0, 1), (6, "skills"): ("", 2, 3, 0, 1)}
+    assert [tuple(r) for r in sections.section_lines(docs.filter("id = 6"), "id", "t").collect()] == [(6, 0, "", None, 0), (6, 1, "", None, 0), (6, 2, "skills", "skills", 1), (6, 3, "", None, 1)]
+    assert {r.id: r.weighted for r in sections.weighted_text(docs, "id", "t").collect()}[5] == "Skills"
+    for frame in (got, sections.section_lines(docs, "id", "t"), sections.weighted_text(docs, "id", "t"), sections.parsed(docs, "id", "t")):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from .functions import sections, skills, text, vectors
 from .operators import cache, cells, explain, fairness, inverted, labeling, ltr, metrics, pairs, quantiles, ranking, search, segments, tfidf
 from .plans import tracking
 from .sources import readers, sinks
+from .sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -778,9 +777,8 @@ def membership_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below the cluster's shared one, if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textmill-")
-    return f"{shared.rstrip('/')}/textmill-io/{uuid.uuid4().hex}"
+    """A new folder below the shared one: all executors can write there, and it goes when the driver ends."""
+    return new_path(spark, "io")
 
 
 @query("SELECT p_partkey AS job_id, p_name AS title, concat(p_type, chr(10), '\"', p_brand, '\", ', p_size) AS description FROM part")
