@@ -18,12 +18,13 @@ from ..functions.skills import skill_sets
 from ..functions.text import clean_text, normalize_text
 from ..functions.vectors import HashingEncoder, encode
 from ..operators import fairness, labeling, ltr, metrics, pairs, ranking, tfidf
+from ..operators.dictionary import found_terms
 from ..operators.explain import explain_batch
 from ..sources import readers, sinks
 
 
-#: Skill names that are sent to the executors; a longer dictionary is refused, not cut.
-MOST_SKILLS = 200_000
+#: Skill names that are sent to the executors; a longer dictionary is joined instead.
+MOST_SKILLS = 20_000
 
 
 def ingestion(spark: SparkSession, data: str, out: str, config: EngineConfig) -> None:
@@ -39,13 +40,15 @@ def ingestion(spark: SparkSession, data: str, out: str, config: EngineConfig) ->
 def preprocessing(spark: SparkSession, data: str, out: str, config: EngineConfig) -> None:
     from ..functions.skills import match_substring
 
-    rows = readers.csv(spark, f"{data}/skills.csv", readers.SKILLS).select(F.lower("skill_name")).distinct().limit(MOST_SKILLS + 1).collect()
-    if len(rows) > MOST_SKILLS:
-        raise ValueError(f"over {MOST_SKILLS} skills: match them by a join")
-    names = [r[0] for r in rows if r[0]]
+    known = readers.csv(spark, f"{data}/skills.csv", readers.SKILLS).select(F.lower("skill_name").alias("term")).filter("term <> ''").distinct()
+    few = known.limit(MOST_SKILLS + 1).collect()
     run = encode(HashingEncoder(), config.encode_batch)
     resumes = spark.read.parquet(f"{out}/resumes_raw").withColumn("text", normalize_text(F.col("text")))
-    sinks.table(resumes.withColumns({"skills": match_substring(F.col("text"), names), "vector": run("text")}), f"{out}/resumes")
+    if len(few) <= MOST_SKILLS:
+        resumes = resumes.withColumn("skills", match_substring(F.col("text"), [r["term"] for r in few]))
+    else:
+        resumes = resumes.join(found_terms(resumes, known, "resume_id").select(F.col("id").alias("resume_id"), F.col("found").alias("skills")), "resume_id")
+    sinks.table(resumes.withColumn("vector", run("text")), f"{out}/resumes")
     jobs = spark.read.parquet(f"{out}/jobs").withColumn("text", F.coalesce("description", F.lit(""))).join(spark.read.parquet(f"{out}/job_skills"), "job_id", "left")
     sinks.table(jobs.withColumn("vector", run("text")), f"{out}/jobs_ready")
 

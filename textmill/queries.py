@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import GROUP_CUES, GROUP_NAMES, KEYWORD_STOP_WORDS, SECTION_KEYWORDS, SECTION_WEIGHTS
 from .functions import sections, skills, text, vectors
-from .operators import cache, cells, explain, fairness, inverted, labeling, ltr, metrics, pairs, quantiles, ranking, search, segments, tfidf
+from .operators import cache, cells, dictionary, explain, fairness, inverted, labeling, ltr, metrics, pairs, quantiles, ranking, search, segments, tfidf
 from .plans import tracking
 from .sources import readers, sinks
 from .sources.shared import new_path
@@ -532,6 +532,18 @@ def weighted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.weighted_text(_resumes(spark, sf_dir), "id", "text")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark)),
+found AS (SELECT doc_id, term FROM documents JOIN t ON contains(lower(text), term))
+SELECT d.doc_id, count(f.term) AS n_terms, md5(coalesce(string_agg(f.term, ',' ORDER BY f.term), '')) AS terms_md5 FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id
+""")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every long word of the benchmark, looked for anywhere in every document, by a join."""
+    terms = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
+    found = dictionary.found_terms(read(spark, sf_dir, "documents"), terms, "doc_id")
+    return found.select(F.col("id").alias("doc_id"), F.size("found").cast("long").alias("n_terms"), F.md5(F.array_join("found", ",")).alias("terms_md5"))
+
+
 # -- TF-IDF -------------------------------------------------------------------------------------------------------
 
 _STOP = ["the", "of", "and", "in", "to", "und", "der", "de", "les", "que"]
