@@ -37,9 +37,10 @@ def top_products(queries: DataFrame, postings: DataFrame, k: int, probe: int = 6
     the lesser id first among equals; how many postings were read for it, and how many its terms have.
 
     First the rarest lists of a query, about `probe` times k postings, give some ids; the k-th best of their whole
-    products is a floor for the answer. In each block a query's lists are put in order of what they can add (its weight
-    times the greatest in the block). Those that all together stay under the floor lift no id there by themselves: they
-    are not read, and a block in which that holds for all is left out. Ids of the other lists stay if what they have plus
+    products is a floor for the answer. In each block a query's lists are put in order of what a posting of them can add
+    (its weight times the greatest in the block, over the list's length), long lists of small weights first. Those that
+    all together stay under the floor lift no id there by themselves: they are not read, and a block in which that holds
+    for all is left out. Ids of the other lists stay if what they have plus
     what the unread lists can add reaches the floor, and get their whole product.
 
     The result is exact; data decide how much is skipped. Lists meet queries by term and block and products are summed
@@ -56,7 +57,7 @@ def top_products(queries: DataFrame, postings: DataFrame, k: int, probe: int = 6
     early = probed.join(postings, ["term", "block"]).groupBy("q", "id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
     floors = _best(products(_best(early, 4 * k), asked, postings), k).filter(F.col("rank") == k).select("q", F.col("score").alias("floor"))
     floors = written(floors, "floors")
-    by_block = Window.partitionBy("q", "block").orderBy("adds", "term")
+    by_block = Window.partitionBy("q", "block").orderBy(F.col("adds") / F.col("n"), "term")
     under = F.sum("adds").over(by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     weighed = lists.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("under", under)
     weighed = weighed.withColumn("unread", F.col("under") < F.col("floor") - SLACK)
