@@ -121,21 +121,10 @@ def _word(char: Column) -> Column:
     return F.regexp_like(F.decode(char, "ISO-8859-1"), F.lit("^[A-Za-z0-9_]$"))
 
 
-def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", term_col: str = "term", short: int = 0) -> DataFrame:
-    """Rows (id, term): which terms of a table stand in which lower-cased texts, as functions.skills.match_bounded() finds
-    them; terms of up to `short` characters must stand between word boundaries.
-
-    Each term is anchored at the gram of eight bytes in it that texts hold least often (at itself, if it is shorter), by
-    counts in a fixed number of places. Texts give the places of grams that a filter of fixed size lets pass; these meet
-    the anchors by equality, and only then is the whole term compared with the text, bytes for bytes. So the dictionary
-    is a table like the other, held nowhere as a whole. Equal texts are searched once.
-
-    Defined results: terms are taken as they are, empty and null ones left out, repeated ones count once; null texts are
-    empty; rows of one id are searched together; a null id is an id; other columns are ignored; empty sides give no rows."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).filter("text <> ''").withColumn("copy", F.md5("text"))
+def _by_text(base: DataFrame, terms: DataFrame, term_col: str, short: int) -> DataFrame:
+    """Rows (copy, terms) of the texts (copy, text) with a term, each text once."""
+    spark = base.sparkSession
     texts = written(base.groupBy("copy").agg(F.first("text").cast("binary").alias("text")), "texts")
-    owners = base.select("id", "copy").distinct()
     known = terms.select(F.col(term_col).cast("string").alias("term")).filter("term <> ''").distinct().select(F.col("term").cast("binary").alias("term"))
     counted = texts.select("text").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2**SLOT_BITS rows
     seen = np.zeros(1 << SLOT_BITS, np.int64)
@@ -145,8 +134,8 @@ def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     bits[marks["word"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
     sizes = sorted(r["size"] for r in anchors.select("size").distinct().collect())  # GRAM rows
-    found = texts.mapInArrow(_found(spark.sparkContext.broadcast(bits), sizes), "copy string, gram long, size int, place long")
-    near = found.join(anchors, ["gram", "size"]).select("copy", "term", (F.col("place") - F.col("at")).cast("int").alias("start")).filter("start >= 0").distinct()
+    found = texts.mapInArrow(_found(spark.sparkContext.broadcast(bits), sizes), "copy binary, gram long, size int, place long")
+    near = found.join(anchors, ["gram", "size"]).select("copy", "term", (F.col("place") - F.col("at")).cast("int").alias("start")).filter("start >= 0")
     both = near.join(texts, "copy")
     n = F.octet_length("term")
     same = F.substring("text", F.col("start") + 1, n) == F.col("term")
@@ -154,12 +143,34 @@ def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
     before, after = (start > 0) & _word(F.substring("text", start, F.lit(1))), (end < F.octet_length("text")) & _word(F.substring("text", end + 1, F.lit(1)))
     alone = (before != _word(F.substring("term", F.lit(1), F.lit(1)))) & (after != _word(F.substring("term", n, F.lit(1))))
     stands = (F.char_length(F.decode("term", "UTF-8")) > short) | alone
-    hits = both.filter(same & stands).select("copy", "term").distinct()
-    return owners.join(hits, "copy").select("id", F.decode("term", "UTF-8").alias("term")).distinct()
+    # candidates lie by text already: no further shuffle
+    return both.filter(same & stands).groupBy("copy").agg(F.collect_set(F.decode("term", "UTF-8")).alias("terms"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return rows.withColumn("copy", F.unhex(F.md5("text")))
+
+
+def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", term_col: str = "term", short: int = 0) -> DataFrame:
+    """Rows (id, term): which terms of a table stand in which lower-cased texts, as functions.skills.match_bounded() finds
+    them; terms of up to `short` characters must stand between word boundaries.
+
+    Each term is anchored at the gram of eight bytes in it that texts hold least often (at itself, if it is shorter), by
+    counts in a fixed number of places. Texts give the places of grams that a filter of fixed size lets pass; these meet
+    the anchors by equality, and only then is the whole term compared with the text, bytes for bytes. So the dictionary
+    is a table like the other, held nowhere as a whole. Equal texts are searched once.
+
+    Defined results: terms are taken as they are, empty and null ones left out, repeated ones count once; null texts are
+    empty; rows of one id are searched together; a null id is an id; other columns are ignored; empty sides give no rows."""
+    rows = _texts(docs, id_col, text_col)
+    found = rows.select("id", "copy").join(_by_text(rows.select("copy", "text"), terms, term_col, short), "copy")
+    return found.select("id", F.explode("terms").alias("term")).distinct()
 
 
 def found_terms(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", term_col: str = "term", short: int = 0) -> DataFrame:
-    """Rows (id, found): the sorted terms of each id, none included."""
-    lists = match_terms(docs, terms, id_col, text_col, term_col, short).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("found"))
-    ids = docs.select(F.col(id_col).alias("own")).distinct()
-    return ids.join(lists, F.col("own").eqNullSafe(F.col("id")), "left").select(F.col("own").alias("id"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
+    """Rows (id, found): the sorted terms of each id, none included; else as match_terms()."""
+    rows = _texts(docs, id_col, text_col)
+    found = rows.select("id", "copy").join(_by_text(rows.select("copy", "text"), terms, term_col, short), "copy", "left")
+    lists = found.groupBy("id").agg(F.flatten(F.collect_set("terms")).alias("found"))
+    return lists.select("id", F.array_sort(F.array_distinct("found")).alias("found"))
