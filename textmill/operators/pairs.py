@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.skills import coverage
+from .containment import covered_ends
 from .labeling import seeded
 
 
@@ -73,14 +74,8 @@ def extremes(scored: DataFrame, k: int, job: str = "job_id", resume: str = "resu
 
 
 def skill_pairs(job_skills: DataFrame, resume_skills: DataFrame, k: int = 5) -> DataFrame:
-    """extremes() by coverage of the job's skills. Intersections are counted over shared skills, so only pairs with a
-    common skill meet; the rest have coverage 0 and are needed by id alone, up to k for each job."""
-    jobs = job_skills.filter(F.size("skills") > 0)
-    j = jobs.select("job_id", F.size("skills").alias("needed"), F.explode("skills").alias("skill"))
-    r = resume_skills.select("resume_id", F.explode("skills").alias("skill"))
-    shared = j.join(r, "skill").groupBy("job_id", "resume_id", "needed").agg(F.count("*").alias("n"))
-    scored = shared.select("job_id", "resume_id", (F.col("n") / F.col("needed")).alias("score"))
-    return extremes(with_zeros(scored, jobs.select("job_id"), resume_skills.select("resume_id"), k), k)
+    """extremes() by coverage of the job's skills, found by bounds: only pairs that can be among the k are made."""
+    return covered_ends(job_skills, resume_skills, k).drop("compared")
 
 
 def with_zeros(scored: DataFrame, jobs: DataFrame, resumes: DataFrame, k: int) -> DataFrame:
