@@ -128,6 +128,25 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(twice).collect()) == [(5, "a b c d e f"), (5, "g h i j k l m")]
 
 
+def test_near_duplicates_of_many_equal_rows(spark, monkeypatch):
+    """Rows alike in id and text are compared once: comparisons grow with distinct texts."""
+    base = [f"w{i}" for i in range(150)]
+    near, other = " ".join(base), " ".join([*base[:148], "x", "y"])
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(near).alias("text"))
+    docs = rows.union(rows.select(F.lit(2).cast("long"), F.lit(other))).union(documents(spark, ["alone in the world with words"], [3]).select("doc_id", "text"))
+    compared, real = [], neardup._confirmed
+
+    def counted(pairs, texts, percent):
+        a, b = (texts.select(F.col("rep").alias(c)) for c in "ab")
+        compared.append(pairs.join(a, "a").join(b, "b").count())
+        return real(pairs, texts, percent)
+
+    monkeypatch.setattr(neardup, "_confirmed", counted)
+    got = neardup.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5000), (2, 1, 5000), (3, 3, 1)]
+    assert sum(compared) < 5
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     rng = np.random.default_rng(6)
     words = [f"w{x}" for x in rng.integers(10**5, size=250_000)]
@@ -245,6 +264,24 @@ def test_repeats_odd_rows(spark):
     assert got[4].n_passage_words == 60  # texts of one id are documents of their own
 
 
+def test_repeats_in_many_equal_rows(spark):
+    """Equal rows have the same runs: after the first round these are as many as in one row."""
+    words = " ".join(f"w{i}" for i in range(60))
+    shared = "one two three four five"
+
+    def live(n):
+        rows = spark.range(n).select(F.lit(4).cast("long").alias("id"), F.lit(11).cast("long").alias("copy"), F.lit(f"{words} {shared} {words[::-1]}").alias("text"))
+        other = " ".join(f"v{i}" for i in range(60))
+        rows = rows.union(spark.createDataFrame([(5, 12, f"{other} {shared} {words} {other[::-1]}")], rows.schema))
+        rounds = []
+        spans = {(r.id, r.copy): sorted((x.lo, x.hi) for x in r.spans) for r in substrings.repeated_spans(rows, substrings.word_units(51), rounds).collect()}
+        return spans, [len(r) for r in rounds]
+
+    once, sizes = live(1)
+    many, grown = live(5000)
+    assert many == once and grown[1:] == sizes[1:] and set(once) == {(4, 11), (5, 12)}
+
+
 def test_repeats_in_very_long_texts(spark):
     rng = np.random.default_rng(2)
     body = "".join(rng.choice(list("abcdefgh "), 1_500_000))
@@ -582,6 +619,24 @@ def test_predictions_against_a_direct_solve(spark):
     assert sure.mean() > 0.95 and all(got[i] == names[margin[i].argmax()] for i in np.flatnonzero(sure))
 
 
+def test_many_languages_of_some_rows_are_all_learned(spark):
+    usable = spark.range(18_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 1500) AS lang")
+    drawn = language._sampled(usable, 4000)
+    assert drawn.select("lang").distinct().count() == 1500 and 3600 < drawn.count() < 4400
+    over = language._sampled(usable, 1000)  # more languages than rows: drawn by share
+    assert 800 < over.count() < 1200
+
+
+def test_languages_at_one_margin(spark):
+    rows = [(i, "same words for all", lang) for i, lang in enumerate(["b", "a", "c"] * 20)]
+    docs = spark.createDataFrame([(3 * k + j, t, lang) for k in range(20) for j, (_, t, lang) in enumerate(rows[:3])], "doc_id long, text string, lang string")
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    learned = collections.Counter(rows[i][2] for i in range(60) if i not in held)
+    got = {r.doc_id: r.lang_pred for r in language.languages(docs).collect()}
+    assert len(set(got.values())) == 1 and set(got.values()) <= set(learned)
+    assert got == {r.doc_id: r.lang_pred for r in language.languages(docs.repartition(7)).collect()}
+
+
 def test_more_languages_than_a_thousand(spark):
     rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 5, f"l{i:04d}") for i in range(1600)]
     usable = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -155,14 +155,15 @@ def _scorer(model):
 
 def _sampled(usable: DataFrame, train_rows: int) -> DataFrame:
     """About `train_rows` rows of usable (doc_id, text, lang): all languages get an equal share, or all rows they have.
-    As many languages as that can be learned; of more, each is drawn as likely as its share says."""
-    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    Up to `train_rows` languages are all learned: the row of the least hash of each stays in any case. Of more languages,
+    each is drawn as likely as its share says."""
+    share = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(share).alias("least")), "languages")
     each = train_rows / max(1, counts.count())
-    asked = counts.select("lang", (F.lit(each) / F.col("n")).alias("limit"))
+    asked = counts.select("lang", (F.lit(each) / F.col("n")).alias("limit"), (F.col("least") if each >= 1 else F.lit(-1.0)).alias("least"))
     if counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
         asked = F.broadcast(asked)
-    share = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(asked, "lang").filter(share < F.col("limit")).select("doc_id", "text", "lang")
+    return usable.join(asked, "lang").filter((share < F.col("limit")) | (share == F.col("least"))).select("doc_id", "text", "lang")
 
 
 def languages(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

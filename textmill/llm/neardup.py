@@ -219,6 +219,15 @@ def _crossing(bands: DataFrame, roots: DataFrame, texts: DataFrame, done: DataFr
     return late
 
 
+def _texts(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (rep, text) of base (doc_id, text), one for rows alike in both: else each pair of ids would be compared once
+    for each pair of their rows. Texts travel for this only if there are such rows."""
+    if rows.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return base.select(F.col("doc_id").alias("rep"), "text")
+    once = base.groupBy("doc_id", F.md5("text").alias("copy")).agg(F.first("text").alias("text"))
+    return written(once.select(F.col("doc_id").alias("rep"), "text"), "texts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): groups of documents linked by 5-word shingle sets.
 
@@ -235,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(base.withColumn("copy", F.md5("text")).mapInArrow(_sign, "doc_id long, copy string, n_shingles long, bands array<long>"), "rows")
     classes = rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     signed = written(classes, "signed")
-    texts = base.select(F.col("doc_id").alias("rep"), "text")
+    texts = _texts(base, rows)
     bands = signed.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.hash("rep")).alias("second"), F.count("*").alias("n")).filter("n > 1")
     near = bands.join(shared, "key").select("rep", F.explode(F.array("lead", "second")).alias("lead")).filter("rep <> lead")

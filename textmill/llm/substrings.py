@@ -240,8 +240,8 @@ def repeated_spans(docs: DataFrame, units: Units, rounds: list | None = None) ->
         return placed.filter("open")
 
     left = refined(written(docs.mapInArrow(_runs(units), _RUN), "runs"), "grams")
-    asked = left.groupBy("id", "copy").agg(F.collect_list(F.struct("k", "a", "lo", "hi")).alias("runs"))
-    # rows alike in id and text share runs: one of them is read
+    # rows alike in id and text have the same runs: sets, so that their number doesn't multiply
+    asked = left.groupBy("id", "copy").agg(F.collect_set(F.struct("k", "a", "lo", "hi")).alias("runs"))
     texts = docs.join(asked, ["id", "copy"]).select("id", "copy", "text", "runs")
     contexts = written(texts.mapInArrow(_contexts(units), _CONTEXT).dropDuplicates(["id", "copy", "at"]), "contexts")
     release(spark)
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, units: Units, rounds: list | None = None) ->
         schema = "r long, id long, copy long, at int, k long, u long, v long, lo int, hi int"
         parts = written(chosen.select("id", "copy", "at", "a", "context", "runs").mapInArrow(_cutter(units, width, before), schema), "parts")
         left = refined(parts, "buckets")
-        again = left.groupBy("id", "copy", "at").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("runs"))
+        again = left.groupBy("id", "copy", "at").agg(F.collect_set(F.struct("k", "lo", "hi")).alias("runs"))
         chosen = contexts.select("id", "copy", "at", "a", "context").join(again, ["id", "copy", "at"])
         before = width
     every = done[0]
