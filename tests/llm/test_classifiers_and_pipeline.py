@@ -104,38 +104,60 @@ def toxicity_by_hand(docs, labels):
     df = collections.Counter(w for b in bags for w in b)
     known = [i for i, (d, _) in enumerate(docs) if d in labels and not held(d)]
     y = np.array([labels[docs[i][0]] for i in known], float)
-    words = sorted({w for i in known for w in bags[i]})
-    seen = np.array([[w in bags[i] for w in words] for i in known], float)
-    weight = np.array([np.log((1 + len(docs)) / (1 + df[w])) + 1 for w in words])
-    for j in range(len(words)):
-        r = np.corrcoef(seen[:, j], y)[0, 1] if 0 < seen[:, j].sum() < len(known) else 0.0
-        weight[j] *= 1 + toxicity.BOOST * (abs(r) if len(known) * r * r >= toxicity.CHI_SQUARED else 0.0)
-    raw = np.array([[(1 + np.log(b[w])) if w in b else 0.0 for w in words] for b in bags]) * weight
+    words = sorted(df)
+    place = {w: j for j, w in enumerate(words)}
+    counts = np.zeros((len(docs), len(words)))
+    for i, bag in enumerate(bags):
+        for w, n in bag.items():
+            counts[i, place[w]] = n
+    raw = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * [np.log((1 + len(docs)) / (1 + df[w])) + 1 for w in words]
     raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-30)
     cosines = raw @ raw[known].T
-    scale = toxicity.Scale(y, np.array([not bags[i] for i in known]))
-
-    def near(i):
+    tells = np.zeros(len(words))
+    for j in range(len(words)):
+        seen = counts[known, j] > 0
+        if 0 < seen.sum() < len(known):
+            r = np.corrcoef(seen, y)[0, 1]
+            tells[j] = abs(r) if len(known) * r * r >= 23.93 else 0.0
+    telling = (raw * tells) @ raw[known].T / np.maximum(cosines, 1e-30)
+    prior = (y.sum() + 1) / (len(y) + 2)
+    bare = np.array([not bags[i] for i in known])
+    without = (y[bare].sum() + 2 * prior) / (bare.sum() + 2)
+
+    def vote(i):
         c = np.where(np.array([docs[k][0] == docs[i][0] for k in known]), 0.0, cosines[i])
-        best = np.argsort(-c, kind="stable")[: toxicity.NEIGHBOURS]
+        best = np.argsort(-c, kind="stable")[:25]
         best = best[c[best] > 1e-9]
-        return y[best], c[best]
-
-    votes = [(scale.vote(*near(i)), docs[i][0]) for i in known if len(near(i)[0])]
-    scale.calibrate(np.array([v for v, _ in votes]), np.array([labels[d] for _, d in votes]), (y.sum() + 1) / (len(y) + 2))
-    return [scale.score(*near(i), bool(bags[i])) for i in range(len(docs))], cosines
+        if not len(best):
+            return None
+        weight = (1 + 1000 * telling[i, best]) / (1.05 - np.minimum(c[best], 1))
+        return (weight @ y[best] + 2 * prior) / (weight.sum() + 2)
+
+    own = [(v, labels[docs[i][0]]) for i in known if (v := vote(i)) is not None]
+    x, t = np.log([v / (1 - v) for v, _ in own]), np.array([label for _, label in own], float)
+    share = (y.sum() + 1) / (len(y) + 2)
+    target = share + 0.75 * (0.5 - share)
+    each = np.where(t > 0, target / t.mean(), (1 - target) / (1 - t.mean()))
+    a, b = 1.0, 0.0
+    for _ in range(100):  # logistic regression by Newton steps
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = each * p * (1 - p) + 1e-6
+        step = np.linalg.solve([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]], [(each * (p - t) * x).sum(), (each * (p - t)).sum()])
+        a, b = a - step[0], b - step[1]
+    votes = [vote(i) for i in range(len(docs))]
+    return [1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b))) if v is not None else (prior if bags[i] else without) for i, v in enumerate(votes)], cosines
 
 
 def test_toxicity_scores_against_dense_vectors(spark):
     rows = labelled_corpus(200)
     copied = next(r for r in rows if not held(r[0]) and not r[4])
-    rows += [(700, copied[1], "s", 1, 0), (701, copied[1] + " zyzzyva quokka quokka", "s", 1, 0), (702, "zyzzyva", "s", 1, 0), (703, None, "s", 1, 0), (704, "?!", "s", 1, 0)]
+    rows += [(700, copied[1], "s", 1, 0), (701, copied[1] + " " + " ".join(f"zyzzyva{chr(97 + k % 26)}{chr(97 + k // 26)} quokka" for k in range(300)), "s", 1, 0), (702, "zyzzyva", "s", 1, 0), (703, None, "s", 1, 0), (704, "?!", "s", 1, 0)]
     docs, labels = tables(spark, rows)
     got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels.filter("doc_id < 700")).collect()}
     want, cosines = toxicity_by_hand([(r[0], r[1]) for r in rows], {r[0]: r[4] for r in rows if r[0] < 700})
     assert np.allclose([got[r[0]].score for r in rows], want, atol=2e-3)
     assert got[700].evidence[0].doc_id == copied[0] and abs(got[700].evidence[0].cosine - 1) < 1e-5
-    assert got[701].evidence[0].doc_id == copied[0] and got[702].evidence == [] and got[703].score == got[704].score
+    assert got[701].evidence[0].doc_id == copied[0] and got[701].evidence[0].cosine < 0.7 and got[702].evidence == [] and got[703].score == got[704].score
     at = {r[0]: i for i, r in enumerate(rows)}
     known = [r[0] for r in rows if r[0] < 700 and not held(r[0])]
     for i in (3, 50, 701):
