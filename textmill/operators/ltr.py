@@ -22,11 +22,12 @@ def features(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, tfidf: DataF
     may lack pairs, which then have 0. Pairs without a job or resume row are dropped."""
     j = document_side(jobs, "job_id").select("job_id", *[F.col(c).alias(f"j_{c}") for c in ("vector", "skills", "words", "n_words")])
     r = document_side(resumes, "resume_id").select("resume_id", *[F.col(c).alias(f"r_{c}") for c in ("vector", "skills", "words", "n_words")])
-    rows = pairs.join(j, "job_id").join(r, "resume_id")
+    # the scores join bare pairs: words and vectors come last, so they travel once
     if tfidf is not None:
-        rows = rows.join(tfidf.select("job_id", "resume_id", F.col("score").alias("__tfidf")), ["job_id", "resume_id"], "left")
+        rows = pairs.join(tfidf.select("job_id", "resume_id", F.col("score").alias("__tfidf")), ["job_id", "resume_id"], "left")
     else:
-        rows = rows.withColumn("__tfidf", F.lit(0.0))
+        rows = pairs.withColumn("__tfidf", F.lit(0.0))
+    rows = rows.join(j, "job_id").join(r, "resume_id")
     both = F.size(F.array_intersect("j_words", "r_words"))
     return rows.select(
         *pairs.columns,
