@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,14 +55,14 @@ class HashingEncoder:
 
 
 def encode(encoder: Encoder, batch: int = 64):
-    """An Arrow function from text to vector. The encoder is sent once a task and called on `batch` texts at a time."""
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """An Arrow function from text to vector. The encoder is sent once a task and called on `batch` texts at a time; no more
+    of them than that are Python objects at once, however many rows Spark sends together."""
+    kind = pa.list_(pa.float32())
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            filled = texts.fillna("").tolist()
-            vectors: list[list[float]] = []
-            for i in range(0, len(filled), batch):
-                vectors += encoder.encode(filled[i : i + batch])
-            yield pd.Series(vectors, index=texts.index, dtype=object)
+            made = [pa.array(encoder.encode([t or "" for t in texts.slice(i, batch).to_pylist()]), kind) for i in range(0, len(texts), batch)]
+            yield pa.concat_arrays(made) if made else pa.array([], kind)
 
     return run
