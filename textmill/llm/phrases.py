@@ -14,6 +14,8 @@ from .scratch import discard, quoted, release, written
 
 #: Whole documents of about so many bytes have their lists in one row; a longer document is alone.
 BLOCK_BYTES = 12 << 20
+#: Words are found in so many bytes of them at a time.
+PART_BYTES = 1 << 20
 LONGEST = 3
 
 _ENDS = np.zeros(256, dtype=bool)
@@ -30,25 +32,42 @@ def inverted_lists(texts: pa.Array, langs: pa.Array) -> dict:
 
     Positions count words; a place is left out between pieces, so that neighbours stand at p and p + 1. Lists are ordered
     by word and rise. Words are told apart by their bytes."""
-    data, offsets = text_bytes(texts)
-    data = LOWER_ASCII[data]
-    starts, ends, doc = word_spans(data, offsets, _INSIDE)
     known = langs.dictionary_encode()
-    if not len(starts):
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    parts, codes, places, ways, last = [], [], [], max(1, len(known.dictionary)), 0
+    for some in chunks([pa.RecordBatch.from_arrays([texts, known.indices], names=["text", "lang"])], limit=PART_BYTES):
+        words, lang, place = _words(some)
+        if len(place):
+            parts.append(words)
+            codes.append(lang)
+            places.append(place + last)
+            last = int(places[-1][-1]) + 2  # no text goes on in the next part
+    if not parts:
         return {"langs": known.dictionary, "words": pa.array([], pa.large_string()), "lang": np.zeros(0, np.int32), "sizes": np.zeros(0, np.int64), "positions": np.zeros(0, np.int32)}
-    cut = np.concatenate([[0], np.cumsum(_ENDS[data], dtype=np.int64)])
-    gap = np.zeros(len(starts), dtype=np.int64)
-    gap[1:] = (doc[1:] != doc[:-1]) | (cut[starts[1:]] != cut[ends[:-1]])
-    places = (np.arange(len(starts)) + np.cumsum(gap)).astype(np.int32)
-    where = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    letters = data[_INSIDE[data]]
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(letters)).dictionary_encode()
-    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(known.dictionary) + known.indices.to_numpy(zero_copy_only=False)[doc]
+    words = pa.chunked_array(parts).unify_dictionaries()
+    dictionary = words.chunk(words.num_chunks - 1).dictionary
+    code = np.concatenate([w.indices.to_numpy(zero_copy_only=False).astype(np.int64) * ways + c for w, c in zip(words.chunks, codes, strict=True)])
+    positions = np.concatenate(places).astype(np.int32)
+    del parts, codes, places, words
     order = np.argsort(code, kind="stable")
     code = code[order]
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    word, lang = np.divmod(code[first], len(known.dictionary))
-    return {"langs": known.dictionary, "words": words.dictionary.take(pa.array(word)), "lang": lang.astype(np.int32), "sizes": np.diff(np.append(first, len(code))), "positions": places[order]}
+    word, lang = np.divmod(code[first], ways)
+    return {"langs": known.dictionary, "words": dictionary.take(pa.array(word)), "lang": lang.astype(np.int32), "sizes": np.diff(np.append(first, len(code))), "positions": positions[order]}
+
+
+def _words(batch: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The words of some whole texts in order, with their languages and places from 0 on."""
+    data, offsets = text_bytes(batch.column("text"))
+    data = LOWER_ASCII[data]
+    starts, ends, doc = word_spans(data, offsets, _INSIDE)
+    stops = np.flatnonzero(_ENDS[data])
+    gap = np.zeros(len(starts), dtype=np.int64)
+    if len(starts):
+        gap[1:] = (doc[1:] != doc[:-1]) | (np.searchsorted(stops, starts[1:]) != np.searchsorted(stops, ends[:-1]))
+    where = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(data[_INSIDE[data]])).dictionary_encode()
+    return words, batch.column("lang").to_numpy(zero_copy_only=False)[doc].astype(np.int32), (np.arange(len(starts)) + np.cumsum(gap)).astype(np.int32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
