@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill import queries
-from textmill.operators import ltr, tfidf
+from textmill.operators import inverted, ltr, tfidf
 
 ROWS = [(1, "sun moon sun"), (2, "moon star"), (3, None), (1, "star sun x"), (None, "sun"), (None, "sun moon"), (4, "sea sea moon")]
 
@@ -79,3 +79,18 @@ def test_training_reads_written_features(spark, monkeypatch):
     assert "Join" not in plan(seen[0]) and seen[0].count() > 0
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     assert {r.resume_id for r in seen[0].select("resume_id").collect()} <= {r.doc_id for r in labels.collect()}
+
+
+def test_index_and_queries_by_block_leave_postings_in_place(spark):
+    docs = [(i, f"w{(i * 5 + j * j) % 17}", 0.1 + (i * j) % 7) for i in range(80) for j in range(i % 6 + 1)]
+    weights = spark.createDataFrame(list({(i, w): (i, w, x) for i, w, x in docs}.values()), "id long, term string, weight double")
+    sized = weights.join(weights.groupBy("id").agg(F.count("*").alias("n_terms")), "id")
+    rows = lambda df: sorted(map(tuple, df.select("term", "block", "id", "weight").collect()))
+    assert rows(inverted.index(sized)) == rows(postings := inverted.index(weights))
+    queries = spark.createDataFrame([(q, f"w{(q * 3 + t) % 17}", 1.0 + t) for q in range(7) for t in range(4)], "q long, term string, w double")
+    one = inverted.top_products(queries, postings, 5, probe=2)
+    many = inverted.top_products(queries, postings, 5, probe=2, block=2)
+    pick = lambda df: sorted((r.q, r.id, r.rank, round(r.score, 9)) for r in df.collect())
+    assert pick(one) == pick(many) and len(pick(one)) == 35
+    want = sorted((-round(sum(w * x for _, t, w in queries.collect() if _ == 3 for i, u, x in weights.collect() if u == t and i == d), 9), d) for d in range(80))[:5]
+    assert [(-s, d) for q, d, _, s in sorted(pick(one), key=lambda r: r[2]) if q == 3] == want
