@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import vectors
 from textmill.llm import phrases, quality
+from textmill.llm.scratch import batches_of
 from textmill.operators import ranking, search
 
 
@@ -55,6 +56,40 @@ def test_inverted_lists_hold_little_beside_their_positions():
     assert most < 90
 
 
+def test_a_block_of_phrases_is_small_and_keeps_its_words_out_of_the_cogroup(spark, monkeypatch):
+    # one Arrow batch of 24 MB would be one or two blocks of 12 MB; a block's merge joins take many times its positions
+    text = some_text(4000)
+    docs = spark.createDataFrame([(24 * 2**20 // len(text),)], "n int")
+    docs = docs.select(F.explode(F.sequence(F.lit(1), "n")).alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang")).coalesce(1)
+
+    def sent(batches):
+        for batch in batches:
+            assert sum(len(t) for t in batch.column("text").to_pylist()) < 2 * phrases.BATCH_BYTES
+            yield batch
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with batches_of(spark, phrases.BATCH_BYTES):
+        rows = docs.mapInArrow(sent, docs.schema).mapInArrow(phrases._blocks, phrases._BLOCK).select("words", "sizes", "positions").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert sum(sum(r.sizes) for r in rows) == 4000 * docs.count() == sum(len(r.positions) for r in rows) // 4
+    assert max(len(r.positions) for r in rows) < 4 << 20
+    big = max(rows, key=lambda r: len(r.positions))
+    lists = pa.table({"block": [0], "ids": [list(range(len(big.sizes)))], "sizes": [big.sizes], "positions": pa.array([bytes(big.positions)], pa.binary())})
+    pairs, most = peak(lambda: list(phrases._pairs(lists.to_batches())))
+    assert most < 60
+    pairs = pa.Table.from_batches(pairs).select(["block", "a", "b"])
+    assert peak(lambda: phrases._triples(lists, pairs))[1] < 60
+    keep = phrases._keep
+
+    def only_numbers(left, right):
+        assert not left.num_rows or left.column_names == ["block", "sizes", "positions"]
+        return keep(left, right)
+
+    monkeypatch.setattr(phrases, "_keep", only_numbers)
+    got = phrases.collocations(docs.limit(20), top=3)
+    assert got.count() == 3 and {r.n for r in got.collect()} == {4000 * 20}
+
+
 def test_cross_scores_keep_columns_of_both_sides(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [0.0, 1.0], None)], "query_id long, vector array<double>, ql int")
     c = spark.createDataFrame([(1, [1.0, 1.0], "x"), (3, [0.0, 1.0], None)], "doc_id long, vector array<double>, dl string")

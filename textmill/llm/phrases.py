@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER_ASCII, chunks, text_bytes, word_spans
-from .scratch import discard, quoted, release, written
+from .scratch import batches_of, discard, quoted, release, written
 
 #: Whole documents of about so many bytes have their lists in one row; a longer document is alone.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 2 << 20
+#: Rows go to Python in so many bytes at a time; a larger row is alone.
+BATCH_BYTES = 2 << 20
 #: Words are found in so many bytes of them at a time.
 PART_BYTES = 1 << 20
 LONGEST = 3
@@ -117,7 +119,7 @@ def _keep(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = [pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
         return pa.table(empty, names=names)
     sizes = left.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    positions = np.frombuffer(left.column("positions")[0].as_py(), np.int32)
+    positions = _positions(left)
     slot = right.column("slot").to_numpy()
     order = np.argsort(slot)
     slot, ids = slot[order], right.column("id").to_numpy()[order]
@@ -127,10 +129,15 @@ def _keep(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([left.column("block"), _list(ids), _list(sizes[slot]), pa.array([kept.tobytes()], pa.binary())], names=names)
 
 
-def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _positions(block: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The positions of the only row, not copied."""
+    return np.frombuffer(block.column("positions")[0].as_buffer(), np.int32)
+
+
+def _read(block: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, which of them stands at each place, places) of a block, merged by position."""
-    ids, sizes = (np.asarray(row[c], dtype=np.int64) for c in ("ids", "sizes"))
-    return ids, *merged(sizes, np.frombuffer(row["positions"], np.int32))
+    ids, sizes = (block.column(c)[0].values.to_numpy() for c in ("ids", "sizes"))
+    return ids, *merged(sizes, _positions(block))
 
 
 def _counted(codes: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,13 +150,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How long the lists of two-word phrases are in each block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: v[0] for c, v in batch.slice(i, 1).to_pydict().items()}
+            row = batch.slice(i, 1)
             ids, owner, at = _read(row)
             go_on = neighbours(owner, at)
             a, b, n = _counted(owner[go_on].astype(np.int64) * len(ids) + owner[go_on + 1], max(1, len(ids)))
             for k in range(0, len(a), 100_000):
                 part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), row["block"]), pa.int64()), pa.array(ids[a[part]]), pa.array(ids[b[part]]), pa.array(n[part], pa.int64())], names=["block", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), row.column("block")[0].as_py()), pa.int64()), pa.array(ids[a[part]]), pa.array(ids[b[part]]), pa.array(n[part], pa.int64())], names=["block", "a", "b", "n"])
 
 
 def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -158,7 +165,7 @@ def _triples(left: pa.Table, right: pa.Table) -> pa.Table:
     names = ["a", "b", "c", "n"]
     if not left.num_rows or not right.num_rows:
         return pa.table([pa.array([], pa.int64())] * 4, names=names)
-    ids, owner, at = _read({c: left.column(c)[0].as_py() for c in ("ids", "sizes", "positions")})
+    ids, owner, at = _read(left)
     order = np.argsort(ids)
     a, b = (order[np.searchsorted(ids, right.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
     frequent = np.sort(a.astype(np.int64) * len(ids) + b)
@@ -179,21 +186,8 @@ def _score(a: str, left: str, right: str) -> str:
     return f"(1000000BD * {wide(a)} * {wide(a)}) div ({wide(left)} * {wide(right)})"
 
 
-def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows (lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of two or three words by score.
-
-    A phrase stands at least `least` times within pieces (texts cut at .,;:!? and line ends). Its score is that of the
-    weakest cut, 1000000 a a / (l r) rounded down, with a, l, r the frequencies of the phrase and of both parts; n counts
-    all words of the language. Phrases inside a longer one that has `percent` of their frequency go.
-
-    Blocks of documents hold an inverted list of positions for each word. Only the lengths of lists travel, to be summed
-    by word or phrase; what is frequent over all blocks comes back to the blocks that have it. There the lists of
-    frequent words are joined with their neighbours' postings by merging positions, then those of frequent pairs. So a
-    word that is everywhere is one row a block, and no list is ever gathered over blocks.
-
-    Defined results: a null language is 'und'; null and empty texts and pieces without words give nothing; repeated rows
-    count each; equal scores are in order of a, then of the phrase's bytes; other columns, whatever their names, are
-    ignored; an empty table gives no rows. Long texts count whole: one text's lists are in one row, at 4 bytes a word."""
+def _frequent(docs: DataFrame, least: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Frequent words (lang, word, f, id), words of each language (lang, n), frequent pairs (a, b, f) and triples (a, b, c, f) of ids."""
     base = docs.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"), F.coalesce(F.col(quoted(lang_col)), F.lit("und")).alias("lang"))
     blocks = written(base.mapInArrow(_blocks, _BLOCK), "blocks")
     headers = blocks.select("block", "langs", F.posexplode(F.arrays_zip("words", "lang", "sizes")).alias("slot", "word"))
@@ -202,7 +196,8 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = written(counted.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
     frequent = written(headers.join(words, ["lang", "word"]).select("block", "slot", "id"), "frequent")
-    kept = written(blocks.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_keep, _KEPT), "kept")
+    lists = blocks.select("block", "sizes", "positions")  # a cogroup reads all columns that it is given: words stay out
+    kept = written(lists.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_keep, _KEPT), "kept")
     discard(blocks)
     discard(frequent)
     release(docs.sparkSession)
@@ -215,6 +210,26 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     two = written(pairs.groupBy("a", "b").agg(F.first("f").alias("f")), "two")
     discard(kept)
     discard(pairs)
+    return words, totals, two, triples
+
+
+def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows (lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of two or three words by score.
+
+    A phrase stands at least `least` times within pieces (texts cut at .,;:!? and line ends). Its score is that of the
+    weakest cut, 1000000 a a / (l r) rounded down, with a, l, r the frequencies of the phrase and of both parts; n counts
+    all words of the language. Phrases inside a longer one that has `percent` of their frequency go.
+
+    Blocks of documents hold an inverted list of positions for each word. Only the lengths of lists travel, to be summed
+    by word or phrase; what is frequent over all blocks comes back to the blocks that have it. There the lists of
+    frequent words are joined with their neighbours' postings by merging positions, then those of frequent pairs. So a
+    word that is everywhere is one row a block, and no list is ever gathered over blocks.
+
+    Defined results: a null language is 'und'; null and empty texts and pieces without words give nothing; repeated rows
+    count each; equal scores are in order of a, then of the phrase's bytes; other columns, whatever their names, are
+    ignored; an empty table gives no rows. Long texts count whole: one text's lists are in one row, at 4 bytes a word."""
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        words, totals, two, triples = _frequent(docs, least, text_col, lang_col)
     # every candidate with the frequencies of its parts
     inside = triples.select("a", "b", "f").union(triples.select(F.col("b").alias("a"), F.col("c").alias("b"), "f"))
     longer = inside.groupBy("a", "b").agg(F.max("f").alias("longer"))
