@@ -4,8 +4,10 @@ Order inside a query: score descending, then pos descending (the later of equals
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources.shared import written
 from .quantiles import elements, quantiles
@@ -47,6 +49,27 @@ def per_query(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10), quer
     return rows.groupBy(query).agg(*out)
 
 
+def measures(labels: np.ndarray, k_values: tuple[int, ...] = (1, 3, 5, 10)) -> dict[str, float]:
+    """What per_query() says of a query, from its labels (whole numbers) in order."""
+    places, relevant = np.arange(1, len(labels) + 1), int(labels.sum())
+    out: dict[str, float] = {"n": len(labels), "n_relevant": relevant}
+    most = max([*k_values, 0])
+    ideal = np.sort(labels)[::-1][:most]
+    for k in k_values:
+        top, best = labels[: max(k, 0)], ideal[: max(k, 0)]
+        gain, most_gain = ((x / np.log2(np.arange(2, len(x) + 2))).sum() for x in (top, best))
+        out |= {f"p_at_{k}": float(top.sum() / k) if k > 0 else 0.0, f"r_at_{k}": float(top.sum() / relevant) if relevant > 0 else 0.0, f"ndcg_at_{k}": float(gain / most_gain) if most_gain > 0 else 0.0}
+    first, found = np.flatnonzero(labels == 1), labels > 0
+    out["mrr"] = 1.0 / float(places[first[0]]) if len(first) else 0.0
+    out["ap"] = float((np.cumsum(labels)[found] / places[found]).sum() / relevant) if relevant > 0 else 0.0
+    return out
+
+
+def measures_schema(query: str, k_values: tuple[int, ...]) -> StructType:
+    names = [*[f"{m}_at_{k}" for k in k_values for m in ("p", "r", "ndcg")], "mrr", "ap"]
+    return StructType([StructField(query, LongType()), StructField("n", LongType()), StructField("n_relevant", LongType()), *[StructField(c, DoubleType()) for c in names]])
+
+
 def aggregate(scored: DataFrame, k_values: tuple[int, ...] = (1, 3, 5, 10), query: str = "query_id", pooled: bool = True) -> DataFrame:
     """One row: the means over queries (ap as map), num_queries and, unless left out, the pooled roc_auc."""
     each = per_query(scored, k_values, query)
